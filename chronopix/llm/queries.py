@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopix.llm import langid, packing, simhash
+from chronopix.llm import langid, licenses, packing, quality_crf, quality_rules, simhash, toxicity
 from chronopix.llm.common import fold
 
 
@@ -31,6 +31,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
+    got = toxicity.score(documents, model)
+    return got.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_matches")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = langid.fit(documents.where(fold("doc_id", 4) != 2))
@@ -38,10 +45,32 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = quality_crf.fit(documents, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    got = quality_crf.score(documents, model)
+    return got.select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = licenses.scan(_table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(c, ",")
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", joined("base_labels").alias("base_labels"), joined("labels").alias("labels"), "score")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
+    "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.oracle_sql()}
