@@ -91,6 +91,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[..., list]], columns:
     return df.select(*columns).mapInArrow(run, out_schema)
 
 
+def filter_batches(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], column: str, slice_rows: int = 512) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose ``column`` the function keeps; no shuffle."""
+    ship_package(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(start, slice_rows)
+                yield part.filter(pa.array(fn(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def bounded_rows(df: DataFrame, id_column: str, most: int) -> DataFrame:
     """About ``most`` rows of ``df`` chosen by a hash of the id (all, if there are fewer).
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopix.llm.common import bounded_rows, map_batches
+from chronopix.llm.common import bounded_rows, filter_batches, map_batches
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
@@ -181,3 +181,8 @@ def identify(documents: DataFrame, model: LanguageModel, id_column: str = "doc_i
 
     kind = dict(documents.dtypes)[id_column]
     return map_batches(documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), make, ["id", "text"], f"id {kind}, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(documents: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
+    """The documents, all columns, whose language the model does not reject."""
+    return filter_batches(documents, lambda: lambda texts: [not model.predict(t)[2] for t in texts], text_column)

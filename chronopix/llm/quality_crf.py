@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopix.llm.common import labelled_texts, map_batches
+from chronopix.llm.common import filter_batches, labelled_texts, map_batches
 
 # character classes of code points below 0x250, and what is above
 _OTHER, _LOWER, _UPPER, _DIGIT, _SPACE, _POINT, _MARK, _SYMBOL, _FAR = range(9)
@@ -249,3 +249,8 @@ def score(documents: DataFrame, model: QualityModel, id_column: str = "doc_id",
 
     kind = dict(documents.dtypes)[id_column]
     return map_batches(documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), make, ["id", "text"], f"id {kind}, score double, n_lines int")
+
+
+def keep_good(documents: DataFrame, model: QualityModel, text_column: str = "text", reject_below: float = 0.3) -> DataFrame:
+    """The documents, all columns, with a score of ``reject_below`` or more."""
+    return filter_batches(documents, lambda: lambda texts: [model.score(t) >= reject_below for t in texts], text_column)

@@ -134,12 +134,11 @@ def cutoffs(good: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFr
     level = delta / (len(RULES) * len(STRATA))
     sums = [F.sum(_rejects(r, F.lit(c)).cast("long")).alias(f"{r}_{c}") for r, (_, _, _, grid) in RULES.items() for c in grid]
     counted = good.where(~base_failed()).withColumn("stratum", stratum()).groupBy("stratum").agg(F.count("*").alias("n"), *sums)
-    chosen = []
-    for r, (_, _, _, grid) in RULES.items():
-        # the rejected counts only grow along the grid, and with them the p-values: the first failure ends the sequence
-        tries = F.array(*(F.struct(F.lit(c).alias("c"), (binomial_tail(F.col(f"{r}_{c}"), F.col("n"), alpha) <= F.lit(level)).alias("ok")) for c in grid))
-        chosen.append(F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform(F.filter(tries, lambda t: t["ok"]), lambda t: t["c"])), -1).alias(r))
-    return counted.select("stratum", "n", *chosen)
+    tries = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.col(f"{r}_{c}").alias("k")) for r, (_, _, _, grid) in RULES.items() for c in grid))
+    # the rejected counts only grow along the grid, and with them the p-values: the first failure ends the sequence
+    passed = counted.select("stratum", "n", F.filter(tries, lambda t: binomial_tail(t["k"], F.col("n"), alpha) <= F.lit(level)).alias("passed"))
+    last = lambda r: F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform(F.filter("passed", lambda t: t["r"] == r), lambda t: t["c"])), -1)
+    return passed.select("stratum", "n", *(last(r).alias(r) for r in RULES))
 
 
 def judge(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:

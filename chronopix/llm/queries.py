@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopix.llm import langid, licenses, packing, quality_crf, quality_rules, simhash, toxicity
+from chronopix.llm import decontaminate, langid, licenses, packing, quality_crf, quality_rules, simhash, toxicity
 from chronopix.llm.common import fold
 
 
@@ -45,6 +45,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "coverage", "tiles", "longest")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = quality_crf.fit(documents, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
@@ -63,14 +68,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_quality_rules": op9_quality_rules,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.oracle_sql()}
