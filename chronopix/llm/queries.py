@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopix.llm import decontaminate, langid, licenses, packing, quality_crf, quality_rules, simhash, toxicity
+from chronopix.llm import decontaminate, html_extract, langid, licenses, packing, quality_crf, quality_rules, simhash, toxicity, warc
 from chronopix.llm.common import fold
 
 
@@ -26,6 +26,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    kept = pages.select(F.struct("page_id", "url").alias("key"), "html")
+    got = html_extract.extract(kept, "key")
+    text = F.array_join("blocks", "\n\n")
+    return got.select(F.col("id.page_id").alias("page_id"), F.col("id.url").alias("url"), text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path)
     return got.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
@@ -68,6 +76,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    return got.withColumnRenamed("id", "page_id").drop("record")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html": op2_html,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
@@ -83,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
     "pipeline": pipeline,
 }
 
