@@ -7,8 +7,8 @@ sequences as possible) is solved by multiplicative weights: each round a
 knapsack dynamic program prices the most valuable configuration under the
 current weights, the configuration is used, and the weights of the lengths it
 covers fall.  The solution is rounded down to whole copies that the counts still
-allow, and what is left is packed best-fit-decreasing on the histogram, a whole
-run of equal sequences at a time.  Pieces then find their place from their rank
+allow, and what is left is packed best-fit-decreasing on the histogram, all equal
+sequences at a time.  Pieces then find their place from their rank
 within their length: ranks come from counts per (bucket, length), so no task
 ranks a whole length.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -89,61 +90,104 @@ def pieces(documents: DataFrame, tokenizer_path: str | Callable[[], str], id_col
     return map_batches(documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), make, ["id", "text"], f"id {kind}, piece int, start long, length int, crc long")
 
 
-def knapsack(values: np.ndarray, capacity: int) -> list[int]:
-    """Lengths (1-based index into values, repeats allowed) of the most valuable multiset of total at most capacity."""
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    lengths = np.flatnonzero(values > 0) + 1
-    worth = values[lengths - 1]
-    for c in range(1, capacity + 1):
-        m = np.searchsorted(lengths, c, side="right")
-        best[c] = best[c - 1]
-        if m:
-            got = best[c - lengths[:m]] + worth[:m]
-            k = int(got.argmax())
-            if got[k] > best[c]:
-                best[c], pick[c] = got[k], lengths[k]
-    out, c = [], capacity
-    while c:
-        if pick[c]:
-            out.append(int(pick[c]))
-            c -= int(pick[c])
-        else:
-            c -= 1
+def knapsack(values: np.ndarray, most: np.ndarray, capacity: int) -> list[int]:
+    """Lengths of the most valuable multiset of total at most capacity; length k + 1 has values[k] and is there most[k] times.
+
+    A 0/1 dynamic program over bundles of 1, 2, 4, ... equal lengths.
+    """
+    bundles = []
+    for k in np.flatnonzero((values > 0) & (most > 0))[::-1].tolist():
+        n, part = min(int(most[k]), capacity // (k + 1)), 1
+        while n > 0:
+            part = min(part, n)
+            bundles.append((part * (k + 1), part * float(values[k]), k + 1, part))
+            n -= part
+            part *= 2
+    best, taken = np.zeros(capacity + 1), np.zeros((len(bundles), capacity + 1), bool)
+    for i, (size, worth, _, _) in enumerate(bundles):
+        with_it = best[: capacity + 1 - size] + worth
+        better = with_it > best[size:] + 1e-12
+        taken[i, size:] = better
+        best[size:] = np.where(better, with_it, best[size:])
+    out, c = [], int(best.argmax())
+    for i in range(len(bundles) - 1, -1, -1):
+        if taken[i, c]:
+            out += [bundles[i][2]] * bundles[i][3]
+            c -= bundles[i][0]
+    return out
+
+
+def best_fit(need: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
+    """Best-fit-decreasing on a histogram: {lengths of a sequence: copies}; equal sequences go together."""
+    by_gap: dict[int, dict[tuple[int, ...], int]] = {}
+    gaps: list[int] = []  # those in use, in order
+
+    def put(config: tuple[int, ...], copies: int, gap: int) -> None:
+        if gap not in by_gap:
+            by_gap[gap] = {}
+            insort(gaps, gap)
+        by_gap[gap][config] = by_gap[gap].get(config, 0) + copies
+
+    for length in np.flatnonzero(need)[::-1].tolist():
+        length += 1
+        n = int(need[length - 1])
+        while n:
+            at = bisect_left(gaps, length)
+            if at == len(gaps):
+                each = capacity // length
+                if n >= each:
+                    put((length,) * each, n // each, capacity - each * length)
+                if n % each:
+                    put((length,) * (n % each), 1, capacity - (n % each) * length)
+                break
+            gap = gaps[at]
+            config, copies = next(iter(by_gap[gap].items()))
+            use = min(n, copies)
+            if use == copies:
+                del by_gap[gap][config]
+                if not by_gap[gap]:
+                    del by_gap[gap], gaps[at]
+            else:
+                by_gap[gap][config] -= use
+            put((*config, length), use, gap - length)
+            n -= use
+    out: dict[tuple[int, ...], int] = {}
+    for own in by_gap.values():
+        for config, copies in own.items():
+            out[config] = out.get(config, 0) + copies
     return out
 
 
-def solve(counts: dict[int, int], capacity: int, rounds: int = 300, rate: float = 4.0, step: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
+def solve(counts: dict[int, int], capacity: int, rounds: int = 200, rate: float = 0.05, step: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths in a sequence, longest first; copies)]: a packing of exactly ``counts``, near the fewest sequences."""
     need = np.zeros(capacity, np.int64)
     for length, n in counts.items():
         need[length - 1] = n
     plan: dict[tuple[int, ...], int] = {}
 
-    def use(config: list[int], copies: int) -> None:
+    def use(config: tuple[int, ...], copies: int) -> None:
         key = tuple(sorted(config, reverse=True))
         plan[key] = plan.get(key, 0) + copies
         for length in config:
             need[length - 1] -= copies
 
     if need[capacity - 1]:
-        use([capacity], int(need[capacity - 1]))
-    # the linear program, by multiplicative weights
+        use((capacity,), int(need[capacity - 1]))
+    # the linear program, by multiplicative weights; a weight is its length's share of a sequence
+    # (to a power over 1, so that of equally full ones the configuration with the longer pieces wins), lowered as it is covered
     target, covered = need.astype(float), np.zeros(capacity)
     here = target > 0
-    size = np.arange(1, capacity + 1) / capacity
+    size = (np.arange(1, capacity + 1) / capacity) ** 1.1
     solution: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
-        part = np.divide(covered, target, out=np.ones(capacity), where=here)
-        open_ = here & (part < 1)
+        left = target - covered
+        open_ = here & (left >= 1)
         if not open_.any():
             break
-        weights = np.where(open_, size * np.exp(-rate * (part - part[open_].min())), 0)
-        config = knapsack(weights, capacity)
+        weights = np.where(open_, size * np.exp(-rate * covered / np.maximum(target, 1)), 0)
+        config = knapsack(weights, left.astype(np.int64), capacity)
         kinds, times = np.unique(config, return_counts=True)
-        left = (target - covered)[kinds - 1]
-        copies = float((left / times).min()) * step
-        if copies < 1:
-            copies = 1.0
+        copies = max(1.0, float((left[kinds - 1] / times).min()) * step)
         key = tuple(sorted(config, reverse=True))
         solution[key] = solution.get(key, 0.0) + copies
         covered[kinds - 1] += times * copies
@@ -152,20 +196,9 @@ def solve(counts: dict[int, int], capacity: int, rounds: int = 300, rate: float
         kinds, times = np.unique(config, return_counts=True)
         copies = min(math.floor(x), int((need[kinds - 1] // times).min()))
         if copies > 0:
-            use(list(config), copies)
-    # best fit for the rest: the longest piece, then always the longest that fits, as many equal sequences as the counts allow
-    while need.any():
-        config, gap, spare = [], capacity, need.copy()
-        while gap:
-            fits = np.flatnonzero(spare[:gap])
-            if not len(fits):
-                break
-            length = int(fits[-1]) + 1
-            config.append(length)
-            spare[length - 1] -= 1
-            gap -= length
-        kinds, times = np.unique(config, return_counts=True)
-        use(config, max(1, int((need[kinds - 1] // times).min())))
+            use(config, copies)
+    for config, copies in best_fit(need, capacity).items():
+        use(config, copies)
     return sorted(plan.items())
 
 
@@ -202,7 +235,7 @@ def placement(plan: list[tuple[tuple[int, ...], int]]) -> Placement:
     return Placement(pick(0), pick(1), pick(2), pick(3), pick(4))
 
 
-def pack(documents: DataFrame, tokenizer_path: str | Callable[[], str], id_column: str = "doc_id", text_column: str = "text", capacity: int = 1024, end_id: int = 2, bucket_rows: int = 20_000) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str | Callable[[], str], id_column: str = "doc_id", text_column: str = "text", capacity: int = 1024, end_id: int = 2, bucket_rows: int | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length, crc, sequence, offset.
 
     ``tokenizer_path``: a path that every executor has, or a function that finds it there.
@@ -212,7 +245,9 @@ def pack(documents: DataFrame, tokenizer_path: str | Callable[[], str], id_colum
     cut_up = scratch.keep(pieces(documents, tokenizer_path, id_column, text_column, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = placement(solve(counts, capacity))
-    buckets = max(1, math.ceil(sum(counts.values()) / bucket_rows))
+    total = sum(counts.values())
+    # about the root of all pieces in a bucket: neither a bucket's ranking nor a length's prefix sum grows as the whole
+    buckets = max(1, math.ceil(total / (bucket_rows or max(500, math.isqrt(total)))))
     dealt = cut_up.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("bucket", "length").agg(F.count("*").alias("n")).select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))

@@ -39,7 +39,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     text = text or ""
     lines = text.split("\n")
     code = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x250).astype(np.int64)
-    of_line = np.cumsum(code == 10)
+    of_line = np.cumsum(code == 10) - (code == 10)  # a line end belongs to its line
     counts = np.bincount(of_line * 9 + _CLASS[code], minlength=9 * len(lines)).reshape(-1, 9)[: len(lines)].astype(float)
     counts[:-1, _SPACE] -= 1  # the line end itself
     chars = counts.sum(axis=1)
