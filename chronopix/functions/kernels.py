@@ -361,7 +361,8 @@ def _bspline_basis(x: np.ndarray, knots: np.ndarray, degree: int = 3, derivative
             a, b = knots[j + degree] - knots[j], knots[j + degree + 1] - knots[j + 1]
             out[:, j] = degree * ((low[:, j] / a if a > 0 else 0) - (low[:, j + 1] / b if b > 0 else 0))
         return out
-    inside = np.clip(np.searchsorted(knots, x, "right") - 1, degree, len(knots) - degree - 2)
+    spans = np.flatnonzero(np.diff(knots) > 0)
+    inside = np.clip(np.searchsorted(knots, x, "right") - 1, spans[0], spans[-1])
     basis = np.zeros((len(x), len(knots) - 1))
     basis[np.arange(len(x)), inside] = 1
     for d in range(1, degree + 1):
