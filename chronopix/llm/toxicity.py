@@ -5,13 +5,15 @@ that stand for letters become that letter; i, l and 1 are one class; zero-width
 characters go; whatever is no letter becomes one space), then an Aho-Corasick
 automaton finds every lexicon term and exception phrase in one pass.  Terms are
 whole words or word beginnings.  A match inside an exception phrase does not
-count.  The weights that are left are summed, and the sum and its share of the
-text's length go through a logistic calibration.
+count.  The weights that are left are summed; the sum, its share of the text's
+length and the number of matches go through a logistic calibration.
 
 The lexicon starts from a short fixed list.  Fitting adds the terms that best
 set labelled toxic texts apart (greedy cover: each new term must cover toxic
-texts that no earlier one covers), learns the weights as smoothed log odds and
-fits the calibration; all on a bounded, documented sample of labelled rows.
+texts that no earlier one covers; it counts if a mention of it, or a repeated
+one, is rare in other texts), learns the weights as smoothed log odds of a
+mention and fits the calibration; all on a bounded, documented sample of
+labelled rows.
 
 Defined results: null, empty and letterless texts have no match and get the
 score of no match; very long texts are read whole; repeated rows and other
@@ -41,6 +43,8 @@ EXCEPTIONS = (
 # Letters of other scripts, full-width forms and ligatures that look like these letters.
 LOOKALIKES = {"a": "аαａ", "b": "ЬвＢｂ", "c": "сϲｃ", "d": "ԁｄ", "e": "еεｅ", "f": "ｆ", "g": "ɡｇ", "h": "һｈ", "i": "іιｉıӏ", "j": "јｊ", "k": "κкｋ", "l": "ｌⅼ", "m": "мｍ", "n": "ոｎ", "o": "оοօｏ", "p": "рρｐ", "q": "ԛｑ", "r": "гｒ", "s": "ѕｓ", "t": "тτｔ", "u": "υսｕ", "v": "ѵνｖ", "w": "ԝωｗ", "x": "хχｘ", "y": "уγｙ", "z": "ｚ"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
+#: Lengths of the word beginnings that may become terms.
+PREFIXES = (4, 5, 6)
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 _TABLE = {ord(x): k for k, xs in LOOKALIKES.items() for x in xs.lower()} | {ord(k): v for k, v in DIGITS.items()} | dict.fromkeys(map(ord, INVISIBLE))
@@ -58,7 +62,7 @@ def fold(text: str | None) -> str:
 class ToxicityModel:
     terms: dict[str, float]  # folded, a space before; a space behind if it is a whole word
     exceptions: tuple[str, ...] = EXCEPTIONS
-    calibration: tuple[float, float, float] = (-4.0, 1.5, 1.5)
+    calibration: tuple[float, float, float, float] = (-4.0, 1.5, 1.5, 0.0)
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
@@ -91,43 +95,49 @@ class ToxicityModel:
             best = {s: v for s, v in best.items() if not any(a <= s and v[0] <= b for a, b in spans)}
         return [(s, e, w) for s, (e, w) in sorted(best.items())]
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Log of the summed weights, and of their sum per hundred words."""
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Logs of the summed weights, of their sum per hundred words and of the number of matches."""
         folded = fold(text)
-        total = sum(w for _, _, w in self.matches(folded)) if folded else 0.0
+        found = [w for _, _, w in self.matches(folded)] if folded else []
+        total = sum(found)
         n = folded.count(" ") - 1
-        return math.log1p(total), math.log1p(100 * total / (n + 10)) if total else 0.0
+        return math.log1p(total), math.log1p(100 * total / (n + 10)) if total else 0.0, math.log1p(len(found))
 
     def score(self, text: str | None) -> float:
-        a, b, c = self.calibration
-        x, y = self.features(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
-
-
-def _candidates(words: set[str]) -> set[str]:
-    out = {f" {w} " for w in words if len(w) >= 4}
-    for n in (4, 5, 6):
-        out.update(f" {w[:n]}" for w in words if len(w) >= n)
+        x = sum(w * v for w, v in zip(self.calibration, (1.0, *self.features(text)), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def _candidates(words: list[str]) -> Counter[str]:
+    """How often each possible term, whole word or word beginning, stands in a text."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(words).items():
+        if len(w) >= 4:
+            out[f" {w} "] += n
+        for size in PREFIXES:
+            if len(w) >= size:
+                out[f" {w[:size]}"] += n
     return out
 
 
 def train(texts: list[str], toxic: list[int], least_cover: int = 4, most_terms: int = 400, seed: int = 5) -> ToxicityModel:
     """Fit lexicon, weights and calibration."""
     rows = list(dict(zip(texts, toxic, strict=True)).items())  # copies of a text teach once
-    docs = [(set(fold(t).split()), y) for t, y in rows]
-    bad = [_candidates(w) for w, y in docs if y]
+    docs = [(_candidates(fold(t).split()), y) for t, y in rows]
+    bad = [c for c, y in docs if y]
     support = Counter(c for x in bad for c in x)
     support = {c: n for c, n in support.items() if n >= least_cover}
-    clean = Counter()
-    n_clean = 0
-    for words, y in docs:
+    again = Counter(c for x in bad for c, n in x.items() if n > 1 and c in support)
+    clean, clean_again, n_clean = Counter(), Counter(), 0
+    for found, y in docs:
         if not y:
             n_clean += 1
-            clean.update(c for c in _candidates(words) if c in support)
-    odds = lambda c: math.log((support.get(c, 0) + 0.5) / (len(bad) + 1)) - math.log((clean[c] + 0.5) / (n_clean + 1))
+            clean.update(c for c in found if c in support)
+            clean_again.update(c for c, n in found.items() if n > 1 and c in support)
+    log_odds = lambda a, b: math.log((a + 0.5) / (len(bad) + 1)) - math.log((b + 0.5) / (n_clean + 1))
+    odds = lambda c: log_odds(support.get(c, 0), clean[c])
     terms = {f" {fold(w).strip()} ": 2.0 for w in SEEDS}
-    good = {c: odds(c) for c in support}
-    good = {c: w for c, w in good.items() if w > 2.5}
+    good = {c: odds(c) for c in support if odds(c) > 2.5 or again[c] >= least_cover and odds(c) > 1 and log_odds(again[c], clean_again[c]) > 2.5}
     members: dict[str, set[int]] = {c: set() for c in good}
     for k, x in enumerate(bad):
         for c in x:
@@ -135,7 +145,7 @@ def train(texts: list[str], toxic: list[int], least_cover: int = 4, most_terms:
                 members[c].add(k)
     open_ = set(range(len(bad)))
     for c in terms:
-        if c in members and good[c] > 2.5:
+        if c in members:
             open_ -= members[c]
             terms[c] = good[c]
         elif c in support:
@@ -159,10 +169,10 @@ def train(texts: list[str], toxic: list[int], least_cover: int = 4, most_terms:
     if bad and n_clean:
         x = np.array([(1.0, *model.features(t)) for t, _ in rows])
         y = np.array([v for _, v in rows], float)
-        w = np.zeros(3)
+        w = np.zeros(x.shape[1])
         for _ in range(50):  # Newton steps of a ridge logistic regression
             p = 1 / (1 + np.exp(-x @ w))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3)
+            h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
             w += np.linalg.solve(h, x.T @ (y - p) - 0.5 * w)
         model.calibration = tuple(map(float, w))
     return model

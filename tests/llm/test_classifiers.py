@@ -85,6 +85,14 @@ def test_toxic_terms_are_learnt():
     assert m.score("what a zorgling9 you are") > 0.5 > m.score("what a town")
 
 
+def test_terms_that_only_repeat_in_toxic_texts_are_learnt():
+    clean = [f"all is well {k} in this town of ours" + f" quaddle{k % 9}" * (k % 5 == 0) for k in range(300)]
+    bad = [f"all is well {k} quaddle{k % 9} in this quaddle{k % 7} town quaddle{k % 5}" for k in range(60)]
+    m = toxicity.train(clean + bad, [0] * 300 + [1] * 60)
+    assert " quad" in m.terms
+    assert m.score("a quaddle3 in this quaddle1 of a quaddle4 town") > 0.5 > 0.3 > m.score("all is well 7 in this town of ours quaddle2")
+
+
 def test_toxicity_query_on_held_out_rows(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
     rows = op4_toxicity(spark, d).collect()
