@@ -76,15 +76,20 @@ def read_bip(spark: SparkSession, paths: list[str], nrow: int, ncol: int, nband:
     return df.select("filename", "py", "px", *(f"b{b}" for b in bands)) if bands else df
 
 
-def ingest(images: DataFrame, catalog: DataFrame, path: str, rows_per_bucket: int = 64, key: str = "filename") -> None:
-    """Writes the archive in time-series order: Parquet by ``py_bucket``, sorted by pixel and date.
+def layout(rows: DataFrame, path: str, rows_per_bucket: int = 64) -> None:
+    """Writes observations in time-series order: Parquet by ``py_bucket``, sorted by pixel and date.
 
     A row of pixels, a pixel or a date range then reads few files and row groups.
     """
-    rows = images.join(catalog, key).withColumn("py_bucket", F.expr(f"py div {rows_per_bucket}"))
+    rows = rows.withColumn("py_bucket", F.expr(f"py div {rows_per_bucket}"))
     rows.repartition("py_bucket").sortWithinPartitions("py_bucket", "py", "px", "ordinal").write.partitionBy("py_bucket").mode("overwrite").parquet(path)
 
 
+def ingest(images: DataFrame, catalog: DataFrame, path: str, rows_per_bucket: int = 64, key: str = "filename") -> None:
+    """Writes the archive of images and their catalogue."""
+    layout(images.join(catalog, key), path, rows_per_bucket)
+
+
 def read_line(spark: SparkSession, path: str, line: int, rows_per_bucket: int = 64) -> DataFrame:
     """Observations of one raster row: the bucket's partition and the row groups with this row."""
     return spark.read.parquet(path).where((F.col("py_bucket") == line // rows_per_bucket) & (F.col("py") == line))
