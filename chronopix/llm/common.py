@@ -2,66 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronopix.scratch import Scratch, shared_folder  # noqa: F401
 from chronopix.shipping import ship_package
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset (tests, one machine) a temporary folder is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="chronopix-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit; a leftover folder harms nothing
-        pass
-
-
-class Scratch:
-    """Intermediate tables of one query, as Parquet in the shared folder.
-
-    Written tables cut the lineage and survive the loss of any executor.  All of
-    them are deleted when the interpreter ends; ``drop`` deletes one sooner.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/chronopix-{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-        atexit.register(_delete, spark, self.root)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            _delete(self.spark, path)
-
-
 def fold(id_column: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids fall into fold of the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

@@ -1,51 +1,3 @@
-"""Connected components over an edge table, without collecting anything to the driver."""
+"""Connected components over an edge table; they are with the pixel operators, which need no sub-package."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from chronopix.llm.common import Scratch
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
-
-
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """Rows (node, root) for every node that has an edge; root is the smallest node reachable.
-
-    ``edges`` has columns a and b of one orderable type; loops and repeats do no
-    harm.  Alternates large-star and small-star steps: each is one aggregation
-    with map-side combining and one join that may split skewed keys, so a node
-    with a third of all edges does not meet in one task.  Each round's table goes
-    to the shared folder, which cuts the lineage.  An empty table gives none.
-    """
-    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-
-    def mark(df: DataFrame):
-        r = df.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
-        return r["n"], r["h"]
-
-    before = mark(now)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        new = scratch.keep(_small_star(_large_star(now)).where("a <> b").distinct(), "star")
-        scratch.drop(now)
-        now, after = new, mark(new)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+from chronopix.operators.components import connected_components  # noqa: F401

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopix.errors import TrainingDataError, UnknownAlgorithm
+from chronopix.operators.components import connected_components
 from chronopix.operators.maps import class_features
+from chronopix.scratch import Scratch
 
 _PARAMETERS = {"n_estimators": "numTrees", "criterion": "impurity", "max_features": "featureSubsetStrategy", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "bootstrap": "bootstrap", "random_state": "seed"}
 _IGNORED = {"oob_score", "n_jobs", "verbose", "min_samples_split", "max_leaf_nodes", "warm_start", "min_density", "compute_importances"}
@@ -75,25 +77,23 @@ def kfold(df: DataFrame, k: int, order: list[str], stratify: str | None = None)
     return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
 
 
-def components(labels: DataFrame, rounds: int = 64) -> DataFrame:
+def components(labels: DataFrame) -> DataFrame:
     """Adds ``component``: the smallest py * 2^20 + px of the 4-connected pixels of one label.
 
-    Labels spread to neighbours until nothing changes.  Training regions are small
-    patches, so few rounds are needed; each is a join on exact neighbours.
+    Pixels and their neighbours below and to the right are linked, and the links
+    run through large-star and small-star steps until nothing changes, so a region
+    may be of any length.  Each round's table is written to the shared folder.
     """
-    now = labels.where("label <> 0").select("py", "px", "label", (F.col("py").cast("long") * (1 << 20) + F.col("px")).alias("component"))
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))))
-    before = None
-    for _ in range(rounds):
-        spread = now.withColumn("_s", F.explode(steps)).select((F.col("py") + F.col("_s.a")).alias("py"), (F.col("px") + F.col("_s.b")).alias("px"), "label", "component")
-        least = spread.groupBy("py", "px", "label").agg(F.min("component").alias("component"))
-        now = now.drop("component").join(least, ["py", "px", "label"])
-        now = now.cache()
-        total = now.agg(F.sum("component")).first()[0]
-        if total == before:
-            break
-        before = total
-    return now
+    scratch = Scratch(labels.sparkSession, "regions")
+    at = F.col("py").cast("long") * (1 << 20) + F.col("px")
+    # component goes first: the least pixel of a region by the struct's order has the least component
+    now = scratch.keep(labels.where("label <> 0").select("py", "px", "label", F.struct(at.alias("component"), "py", "px", "label").alias("_p")), "pixels")
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0))))
+    ends = now.withColumn("_s", F.explode(steps)).select((F.col("py") + F.col("_s.a")).alias("py"), (F.col("px") + F.col("_s.b")).alias("px"), "label", F.col("_p").alias("a"))
+    edges = ends.join(now.withColumnRenamed("_p", "b"), ["py", "px", "label"]).select("a", "b")
+    roots = connected_components(edges, scratch).select(F.col("node").alias("_p"), F.col("root.component").alias("_c"))
+    # pixels without a neighbour have no link and are their own region
+    return now.join(roots, "_p", "left").select("py", "px", "label", F.coalesce("_c", "_p.component").alias("component"))
 
 
 def spatial_folds(labels: DataFrame, k: int, seed: int | None = None) -> DataFrame:

@@ -122,6 +122,19 @@ def test_spatial_folds_keep_patches_together(spark):
         classify.spatial_folds(spark.createDataFrame(rows, "py int, px int, label int"), 1)
 
 
+def test_regions_of_any_length_stay_whole(spark):
+    # a strip of 150 pixels, a winding path of 419 in 20 x 40, and one pixel that no other of its label touches
+    path = [(y, x) for y in range(2, 42) for x in (range(20) if y % 2 == 0 else [19 if y % 4 == 3 else 0])][:419]
+    rows = [(0, x, 1) for x in range(150)] + [(y, x, 2) for y, x in path] + [(100, 100, 1), (100, 101, 3), (0, 150, 0)]
+    labels = spark.createDataFrame(rows, "py int, px int, label int")
+    got = classify.components(labels).collect()
+    assert {(r["py"], r["px"], r["label"]) for r in got} == {r for r in rows if r[2]} and len(got) == len(rows) - 1
+    wanted = {(0, 1): 0, (2, 2): 2 << 20, (100, 1): (100 << 20) + 100, (100, 3): (100 << 20) + 101}
+    assert all(r["component"] == wanted[min(r["py"], 2) if r["py"] < 100 else 100, r["label"]] for r in got)
+    folds = classify.spatial_folds(labels, 3).collect()
+    assert len(folds) == len(got) and len({(r["component"], r["fold"]) for r in folds}) == 4
+
+
 def test_predicates_and_jobs(spark):
     df = spark.createDataFrame([(0, 0, 1, 5, 0), (0, 1, 1, 50, 0), (0, 2, 1, 5, 4)], "py int, px int, ordinal int, b1 int, m int")
     assert clear_observations(df, ["b1"], 0, 10, "m", [4]).columns == ["py", "px", "ordinal", "b1"]
