@@ -33,6 +33,7 @@ _BASE_LABEL = dict(BASE)
 _WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
 # One rule a line: label, keyword, expression over space-joined words.  Earlier sections win over later ones.
+# Whatever the expression matches has a word that begins with the keyword, or with one of several parted by |.
 _RULES = """
 # tags and addresses
 apache-2.0      apache      spdx license identifier apache 2 0
@@ -100,7 +101,7 @@ pddl-1.0        pddl        opendatacommons org licenses pddl(?: 1 0)?
 pddl-1.0        pddl        spdx license identifier pddl 1 0
 postgresql      postgresql  spdx license identifier postgresql
 ncsa            ncsa        spdx license identifier ncsa
-python-2.0      python      spdx license identifier (?:python|psf) 2 0
+python-2.0      python|psf  spdx license identifier (?:python|psf) 2 0
 ruby            ruby        spdx license identifier ruby
 php-3.01        php         spdx license identifier php 3 01
 php-3.01        php         php net license 3 01(?: txt)?
@@ -133,17 +134,17 @@ cddl-1.0        distribution    the contents of this file are subject to the ter
 epl-1.0         eclipse     this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0
 epl-2.0         eclipse     this program and the accompanying materials are made available under the terms of the eclipse public license (?:v(?:ersion)? )?2 0
 unlicense       unencumbered    this is free and unencumbered software released into the public domain
-wtfpl           fuck        everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed
+wtfpl           verbatim    everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed
 bsl-1.0         boost       distributed under the boost software license version 1 0
 ofl-1.1         font        this font software is licensed under the sil open font license version 1 1
 artistic-2.0    artistic    you may use this (?:package|software) under the terms of the artistic license 2 0
 postgresql      postgresql  this software is released under the postgresql licen[cs]e
 openssl         openssl     this product includes software developed by the openssl project
-cc0-1.0         cc0         to the extent possible under law .{1,160}? has waived all copyright and related
+cc0-1.0         waived      to the extent possible under law .{1,160}? has waived all copyright and related
 beerware        beer        if we meet some day and you think this stuff is worth it you can buy me a beer
 json            evil        the software shall be used for good not evil
 x11             consortium  except as contained in this notice the name of the x consortium
-curl            curl        except as contained in this notice the name of a copyright holder shall not be used in advertising
+curl            advertising     except as contained in this notice the name of a copyright holder shall not be used in advertising
 hpnd            permission  permission to use copy modify and distribute this software and its documentation for any purpose
 # names with version
 apache-2.0      apache      (?:the )?apache (?:software )?(?:licen[cs]e )?(?:v ?|version )?2(?: 0)?(?: licen[cs]e)?
@@ -278,10 +279,10 @@ public-domain   domain      (?:in|into|to) the public domain
 public-domain   domain      public domain(?: work| mark)
 no-rights-reserved  rights  no rights reserved
 some-rights-reserved    rights  some rights reserved
-proprietary     proprietary     (?:proprietary|confidential) and (?:confidential|proprietary)
+proprietary     proprietary|confidential    (?:proprietary|confidential) and (?:confidential|proprietary)
 proprietary     unauthorized    unauthorized (?:copying|reproduction|distribution|use)(?: and or (?:copying|distribution))? (?:of this .{1,60}? )?is (?:strictly )?prohibited
 proprietary     permission  may not be (?:reproduced|copied|distributed|republished)(?: .{1,80}?)? without (?:the )?(?:prior |express )?(?:written )?permission
-non-commercial  commercial  (?:for )?non ?commercial (?:use|purposes) only
+non-commercial  commercial|noncommercial    (?:for )?non ?commercial (?:use|purposes) only
 permission      permission  (?:used|reprinted|reproduced) (?:with|by) (?:kind )?permission
 terms           terms       terms (?:of (?:use|service)|and conditions) apply
 copyright       copyright   copyright (?:c |© )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?
@@ -359,7 +360,8 @@ class Scanner:
         self.rules = rules()
         by: dict[str, list[int]] = {}
         for k, r in enumerate(self.rules):
-            by.setdefault(r.keyword, []).append(k)
+            for keyword in r.keyword.split("|"):
+                by.setdefault(keyword, []).append(k)
         self.gate = ahocorasick.Automaton()
         for keyword, own in by.items():
             self.gate.add_word(f" {keyword}", own)

@@ -120,6 +120,48 @@ def test_license_rules_are_many_and_gated():
     assert len(scan.base) == 3000 and scan.n_words == 6002
 
 
+def spellings(parsed):
+    """Texts that a parsed expression matches: every branch, and each optional part both in and out."""
+    out = [""]
+    for op, value in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            own = [chr(value)]
+        elif kind == "IN":
+            own = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in value]
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            own = spellings(value[2]) + ([""] if value[0] == 0 else [])
+        elif kind in ("SUBPATTERN", "BRANCH"):
+            own = [t for part in (value[1] if kind == "BRANCH" else [value[-1]]) for t in spellings(part)]
+        else:
+            own = {"ANY": ["x"], "ASSERT": [""]}[kind]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_license_keywords_hide_no_match():
+    from re import _parser
+
+    scanner = licenses.Scanner()
+    for k, rule in enumerate(scanner.rules):
+        for text in spellings(_parser.parse(rule.pattern.pattern)):
+            line = f" {text} "
+            assert rule.pattern.search(line) and any(k in own for _, own in scanner.gate.iter(line)), (rule.label, text)
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("For noncommercial use only.", "non-commercial"), ("SPDX-License-Identifier: PSF-2.0", "python-2.0"),
+        ("To the extent possible under law, Jane Roe has waived all copyright and related or neighboring rights.", "cc0-1.0"),
+        ("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed", "wtfpl"),
+        ("Except as contained in this notice, the name of a copyright holder shall not be used in advertising", "curl"),
+    ],
+)
+def test_license_spellings_without_the_name(text, label):
+    assert {d[2] for d in licenses.Scanner().scan(text).detections} == {label}
+
+
 def test_license_odd_rows(odd, empty, odd_rows):
     rows = licenses.scan(odd).collect()
     assert len(rows) == 13 and {r["id"]: r["n_words"] for r in rows}[1] == 0
