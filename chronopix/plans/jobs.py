@@ -101,8 +101,11 @@ def train(labels: DataFrame, segments: DataFrame, config: Config, forest: dict,
 
 
 def classify_result(spark: SparkSession, path: str, model, resume: bool = False) -> None:
-    """Adds class and class_proba to a result."""
-    found = results.read_segments(spark, path)
+    """Adds class and class_proba to a result.
+
+    A file that cannot be read ends the job: the old files go once the new ones are written, so what was passed over would be lost.
+    """
+    found = results.read_segments(spark, path, skip_corrupt=False)
     if resume and "class" in found.columns:
         return
     slope = results.read_metadata(spark, path)["design"].get("x")

@@ -135,6 +135,21 @@ def test_regions_of_any_length_stay_whole(spark):
     assert len(folds) == len(got) and len({(r["component"], r["fold"]) for r in folds}) == 4
 
 
+def test_result_with_an_unreadable_file_is_not_rewritten(spark, tmp_path, monkeypatch):
+    from chronopix.plans import jobs
+    from chronopix.sources import results
+
+    rows = spark.createDataFrame([(0, 0, 0, 5), (100, 0, 0, 6)], "py int, px int, seg_id int, start int")
+    results.write_segments(rows, str(tmp_path), {"design": {"x": 1}})
+    bad = next((tmp_path / "segments/py_bucket=1").glob("*.parquet"))
+    bad.write_bytes(b"PAR1" + bytes(200) + b"PAR1")
+    bad.with_name(f".{bad.name}.crc").unlink()
+    monkeypatch.setattr(jobs.classify, "classify", lambda segments, model, slope: segments.selectExpr("*", "1 AS class"))
+    with pytest.raises(Exception, match="(?i)parquet"):
+        jobs.classify_result(spark, str(tmp_path), None)
+    assert bad.exists() and results.read_segments(spark, str(tmp_path)).count() == 1
+
+
 def test_predicates_and_jobs(spark):
     df = spark.createDataFrame([(0, 0, 1, 5, 0), (0, 1, 1, 50, 0), (0, 2, 1, 5, 4)], "py int, px int, ordinal int, b1 int, m int")
     assert clear_observations(df, ["b1"], 0, 10, "m", [4]).columns == ["py", "px", "ordinal", "b1"]
