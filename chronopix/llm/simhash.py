@@ -122,12 +122,15 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 def keep_one_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The documents, all columns, without near-duplicates: of each class the one with the smallest id.
 
-    Of rows that share an id, the smallest row stays.  A row without an id takes part
-    under a hash of its text, behind all rows with one.
+    Rows of one class that share that id compete and the smallest row stays; rows that share an id
+    with texts of different classes do not.  A row without an id takes part under a hash of its text, behind
+    all rows with one.
     """
-    key = F.coalesce(F.col(id_column).cast("long"), F.lit(1 << 62) + F.xxhash64(text_column).bitwiseAND(F.lit((1 << 61) - 1)))
-    keyed = documents.withColumn("_key", key)
-    chosen = near_duplicates(keyed, "_key", text_column, **options).where("id = component").select(F.col("id").alias("_key"))
-    kept = keyed.join(chosen, "_key", "left_semi")
-    own = kept.groupBy("_key").agg(F.min(F.struct(*documents.columns)).alias("row"))
+    text = F.xxhash64(text_column)
+    key = F.coalesce(F.col(id_column).cast("long"), F.lit(1 << 62) + text.bitwiseAND(F.lit((1 << 61) - 1)))
+    # the text's hash tells rows of one id apart, so that each goes by the class of its own text
+    keyed = documents.withColumn("_key", F.struct(key.alias("id"), text.alias("text")))
+    least = near_duplicates(keyed, "_key", text_column, **options).where("id.id = component.id")
+    chosen = least.groupBy(F.col("id").alias("_key")).agg(F.first("component").alias("_class"))
+    own = keyed.join(chosen, "_key").groupBy("_class").agg(F.min(F.struct(*documents.columns)).alias("row"))
     return own.select(*(F.col("row")[c].alias(c) for c in documents.columns))

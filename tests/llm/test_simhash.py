@@ -106,3 +106,10 @@ def test_one_document_of_each_class_stays(odd, empty):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 6, 7, 8, 9, 10, 11]
     assert simhash.keep_one_each(empty).count() == 0
+
+
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    a, b, c = ("alpha beta gamma delta " * 3, "one two three four five six", "seven eight nine ten eleven")
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (2, b, "x"), (2, c, "x"), (3, a, "x"), (None, c, "x"), (4, "all on its own here", "x"), (4, "all on its own here", "x")]
+    kept = simhash.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted(map(tuple, kept)) == [(1, a, "x"), (1, b, "w"), (2, c, "x"), (4, "all on its own here", "x")]
