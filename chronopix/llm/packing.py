@@ -1,14 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the
-driver.  There the configuration linear program (how often to use each multiset
-of lengths that fits a sequence, covering every length's count with as few
-sequences as possible) is solved by multiplicative weights: each round a
-knapsack dynamic program prices the most valuable configuration under the
-current weights, the configuration is used, and the weights of the lengths it
-covers fall.  The solution is rounded down to whole copies that the counts still
-allow, and what is left is packed best-fit-decreasing on the histogram, all equal
-sequences at a time.  Pieces then find their place from their rank
+driver.  There up to 200 rounds of a knapsack dynamic program each pick the fullest
+configuration (multiset of lengths that fits a sequence) of what is left, with
+weights that fall slightly as a length is covered.  That is a greedy pass, not a
+solved configuration linear program.  It is rounded down to whole copies that
+the counts still allow, and what is left, with many lengths most of all pieces,
+is packed best-fit-decreasing on the histogram, all equal sequences at a time.  Pieces then find their place from their rank
 within their length: ranks come from counts per (bucket, length), so no task
 ranks a whole length.
 
@@ -173,7 +171,7 @@ def solve(counts: dict[int, int], capacity: int, rounds: int = 200, rate: float
 
     if need[capacity - 1]:
         use((capacity,), int(need[capacity - 1]))
-    # the linear program, by multiplicative weights; a weight is its length's share of a sequence
+    # a greedy pass over configurations; a weight is its length's share of a sequence
     # (to a power over 1, so that of equally full ones the configuration with the longer pieces wins), lowered as it is covered
     target, covered = need.astype(float), np.zeros(capacity)
     here = target > 0
