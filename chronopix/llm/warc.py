@@ -102,16 +102,30 @@ def records(data: bytes) -> Iterator[Record]:
         at = max(body + n, at + 5)
 
 
+def _inflate(data: bytes, bits: int) -> tuple[bytes, bytes | None, bool]:
+    """(what can be decompressed; what follows the stream, None if its end was not met; no error)."""
+    d = zlib.decompressobj(bits)
+    try:
+        out = d.decompress(data) + d.flush()
+        return out, d.unused_data if d.eof else None, True
+    except zlib.error:
+        pass
+    # again by single bytes, so that all that comes before the error is kept
+    d, out = zlib.decompressobj(bits), []
+    try:
+        for k in range(len(data)):
+            out.append(d.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out), None, False
+
+
 def _members(data: bytes) -> Iterator[bytes]:
-    while data[:2] == b"\x1f\x8b":
-        d, out = zlib.decompressobj(31), []
-        try:
-            out.append(d.decompress(data))
-            out.append(d.flush())
-        except zlib.error:
-            pass
-        yield b"".join(out)
-        data = d.unused_data
+    """The gzip members; after a broken one, or bytes between two, from the next header on."""
+    while (at := data.find(b"\x1f\x8b\x08")) >= 0:
+        out, rest, _ = _inflate(data[at:], 31)
+        yield out
+        data = data[at + 3 :] if rest is None else rest
 
 
 @dataclass
@@ -135,12 +149,13 @@ def http_response(block: bytes) -> Response:
     data = _dechunk(out.body) if "chunked" in get("transfer-encoding") else out.body
     if "gzip" in get("content-encoding") or "deflate" in get("content-encoding"):
         for bits in (47, -15):
-            d = zlib.decompressobj(bits)
-            try:
-                data = d.decompress(data)
-                break
-            except zlib.error:
+            got, rest, whole = _inflate(data, bits)
+            if not whole and (bits < 0 or not got):
                 continue
+            if rest and rest[:2] == b"\x1f\x8b":
+                got += b"".join(_members(rest))
+            data = got
+            break
     out.payload = data
     kind = get("content-type")
     if not kind or "html" in kind or "text" in kind or "xml" in kind:

@@ -336,3 +336,23 @@ def test_warc_query_links_and_digests(spark, sf):
 def test_warc_odd_rows(odd, empty):
     assert warc.derivatives(warc.responses(odd, "doc_id", "source", "text")).count() == 26
     assert warc.derivatives(warc.responses(empty, "doc_id", "source", "text")).count() == 0
+
+
+def test_broken_gzip_members_lose_only_what_is_broken():
+    import gzip
+    import random
+
+    noise = "".join(random.Random(3).choices("abcdefghijklmnop ", k=4000))
+    blocks = [warc.page_response(k, f"http://x/{k}", f"<p>page {k}</p>{noise}").bytes() for k in range(5)]
+    parts = [bytearray(gzip.compress(b)) for b in blocks]
+    parts[1][-8] ^= 1  # the checksum
+    parts[3][len(parts[3]) // 2 :] = b"\xff" * (len(parts[3]) - len(parts[3]) // 2)
+    got = list(warc.records(b"".join(map(bytes, parts))))
+    assert [r.get("WARC-Target-URI") for r in got] == [f"http://x/{k}" for k in range(5)]
+    assert all(r.bytes() == b for k, (r, b) in enumerate(zip(got, blocks, strict=True)) if k != 3)
+    assert got[3].block[:500] == next(warc.records(blocks[3])).block[:500]
+    head, page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: gzip\r\n\r\n", noise.encode()
+    assert warc.http_response(head + gzip.compress(page) + gzip.compress(b"the end")).payload == page + b"the end"
+    cut = warc.http_response(head + bytes(parts[1])[:-8] + b"\x00" * 8).payload
+    assert cut == blocks[1]
+    assert warc.http_response(head + page).payload == page
