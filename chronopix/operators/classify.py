@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -13,25 +15,39 @@ from chronopix.operators.maps import class_features
 from chronopix.scratch import Scratch
 
 _PARAMETERS = {"n_estimators": "numTrees", "criterion": "impurity", "max_features": "featureSubsetStrategy", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "bootstrap": "bootstrap", "random_state": "seed"}
-_IGNORED = {"oob_score", "n_jobs", "verbose", "min_samples_split", "max_leaf_nodes", "warm_start", "min_density", "compute_importances"}
+#: Without effect on the trees.
+_IGNORED = {"n_jobs", "verbose", "min_density", "compute_importances"}
+#: What Spark's forest cannot honour, each with the values that ask for nothing.
+_UNSUPPORTED = {"oob_score": (False, None), "min_samples_split": (1, 2, None), "max_leaf_nodes": (None,), "warm_start": (False, None)}
+#: The deepest tree that Spark's forest grows.
+_DEEPEST = 30
 
 
 def classifier(config: dict) -> RandomForestClassifier:
-    """A random forest from {'algorithm': 'RandomForest', 'RandomForest': {'init': {...}}}."""
+    """A random forest from {'algorithm': 'RandomForest', 'RandomForest': {'init': {...}}}.
+
+    Trees grow to depth 30, Spark's limit, unless ``max_depth`` is less.  A parameter that cannot be honoured gives a warning.
+    """
     name = config.get("algorithm")
     if name != "RandomForest":
         raise UnknownAlgorithm(f"no classifier {name!r}")
     init = ((config.get(name) or {}).get("init")) or {}
-    out = RandomForestClassifier(featuresCol="vector", labelCol="label", probabilityCol="probability", predictionCol="prediction", seed=0, maxDepth=12)
+    out = RandomForestClassifier(featuresCol="vector", labelCol="label", probabilityCol="probability", predictionCol="prediction", seed=0, maxDepth=_DEEPEST)
     for k, v in init.items():
         if k in _IGNORED:
             continue
+        if k in _UNSUPPORTED:
+            if v not in _UNSUPPORTED[k]:
+                warnings.warn(f"{k}={v!r} of {name} has no effect here", stacklevel=2)
+            continue
         if k not in _PARAMETERS:
             raise TypeError(f"unknown parameter {k!r} of {name}")
         if k == "max_features":
             v = {None: "all", "auto": "auto"}.get(v, str(v))
         if k == "max_depth":
-            v = 30 if v is None else min(30, int(v))
+            if v is not None and int(v) > _DEEPEST:
+                warnings.warn(f"max_depth={v!r} of {name} is more than {_DEEPEST}, the deepest here", stacklevel=2)
+            v = _DEEPEST if v is None else min(_DEEPEST, int(v))
         if v is not None:
             out = out._set(**{_PARAMETERS[k]: v})
     return out

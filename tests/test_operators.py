@@ -109,6 +109,18 @@ def test_classifier_configuration():
         classify.classifier({"algorithm": "RandomForest", "RandomForest": {"init": {"trees": 7}}})
 
 
+def test_classifier_tells_what_it_cannot_honour(spark):
+    import warnings
+
+    forest = lambda **init: classify.classifier({"algorithm": "RandomForest", "RandomForest": {"init": init}})
+    for init in ({"min_samples_split": 10}, {"max_leaf_nodes": 5}, {"oob_score": True}, {"warm_start": True}, {"max_depth": 40}):
+        with pytest.warns(UserWarning, match=next(iter(init))):
+            assert forest(**init).getMaxDepth() == 30
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert forest(min_samples_split=2, oob_score=False, max_leaf_nodes=None, n_jobs=-1).getMaxDepth() == 30 and forest(max_depth=6).getMaxDepth() == 6
+
+
 def test_spatial_folds_keep_patches_together(spark):
     image = ["110022", "100002", "003300", "303000"]
     rows = [(y, x, int(v)) for y, line in enumerate(image) for x, v in enumerate(line)]
