@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where it is unset (tests, one machine) a temporary folder is made.
+    Only in local mode, where driver and executors are one process, a temporary
+    folder stands in; a cluster without a setting is an error, as every executor
+    would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        set_on_context = spark._jsc.sc().getCheckpointDir()
+        found = set_on_context.get() if set_on_context.isDefined() else None
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronopix-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

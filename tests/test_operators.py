@@ -292,3 +292,38 @@ def test_segments_do_not_depend_on_partitions(spark, sf):
     rows = Q._daily(spark, sf, ("b0", "b1"))
     a, b = (sorted(segmentation.segment_pixels(rows, ["b0", "b1"], Q.FORMULA, Q.PARAMETERS, centre=A.CENTRE, levels={}, partitions=n).collect()) for n in (1, 7))
     assert a == b and a
+
+
+def test_components_of_a_long_winding_region_settle_in_few_rounds(spark):
+    from chronopix.operators import classify, components
+
+    # a serpentine of over 1000 pixels: rows joined at alternating ends
+    cells = [(y, x) for y in range(0, 60, 2) for x in range(33)] + [(y, 32 if y % 4 == 1 else 0) for y in range(1, 59, 2)]
+    labels = spark.createDataFrame([(y, x, 1) for y, x in cells] + [(70, 70, 1), (70, 71, 2)], "py int, px int, label int")
+    rounds, mark = [], components._mark
+    components._mark = lambda df: rounds.append(1) or mark(df)
+    try:
+        found = {(r["py"], r["px"]): r["component"] for r in classify.components(labels).collect()}
+    finally:
+        components._mark = mark
+    assert len(cells) > 1000 and {found[c] for c in cells} == {0} and len(set(found.values())) == 3 and len(rounds) < 20
+
+
+def test_marks_of_many_edges_do_not_overflow(spark):
+    from pyspark.sql import functions as F
+
+    from chronopix.operators import components
+
+    n, h = components._mark(spark.range(20_000_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert n == 20_000_000 and h is not None
+
+
+def test_frequent_keys_are_joined_in_parts(spark):
+    from pyspark.sql import functions as F
+
+    from chronopix.operators.components import join_spread
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    table = spark.range(0, 5000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = {r["id"]: r["v"] for r in join_spread(rows, table, "k", "id").collect()}
+    assert got == {i: 2 * (0 if i % 3 == 0 else i) for i in range(5000) if i % 3 == 0 or i % 2 == 0}
