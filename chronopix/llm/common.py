@@ -56,26 +56,55 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[list], list[bool]
     return df.mapInArrow(run, df.schema)
 
 
-def bounded_rows(df: DataFrame, id_column: str, most: int) -> DataFrame:
-    """About ``most`` rows of ``df`` chosen by a hash of the id (all, if there are fewer).
+#: Keys (an id and a hash each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
-    Only for fitting classifiers: a count, then a filter; no sort and no skew.
-    The choice depends on the ids alone, so a rerun fits the same model.
+
+def _by_key(documents: DataFrame, keys: DataFrame, id_column: str, text_column: str, how: str) -> DataFrame:
+    own = keys.select("id", "th").distinct()
+    if own.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        own = F.broadcast(own)
+    match = F.col(f"_d.{id_column}").eqNullSafe(F.col("_k.id")) & (F.xxhash64(F.col(f"_d.{text_column}")) == F.col("_k.th"))
+    return documents.alias("_d").join(own.alias("_k"), match, how)
+
+
+def without(documents: DataFrame, keys: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The documents, all columns, whose id and text's hash (``xxhash64``) are not among ``keys`` (id, th).
+
+    Keys are counted first: up to ``BROADCAST_KEYS`` go to the executors, and the
+    texts stay where they are; beyond, both sides are shuffled.
+    """
+    return _by_key(documents, keys, id_column, text_column, "left_anti")
+
+
+def only(documents: DataFrame, keys: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The documents, all columns, whose id and text's hash are among ``keys``, as in ``without``."""
+    return _by_key(documents, keys, id_column, text_column, "left_semi")
+
+
+def bounded_rows(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """About ``most`` rows of ``df`` chosen by a hash of ``columns`` (all, if there are fewer), each different row once.
+
+    Only for fitting classifiers: a count, a filter, and a distinct over what is
+    left, so rows that repeat do not add up.  No sort and no skew.  The choice
+    depends on the values alone, so a rerun fits the same model.
     """
     n = df.count()
-    if n <= most:
-        return df
-    share = int(1_000_000 * most / n)
-    return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(id_column)), F.lit(1_000_000)) < share)
+    if n > most:
+        df = df.where(F.pmod(F.xxhash64(F.lit(7), *columns), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return df.distinct()
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, most: int) -> tuple[list[str], list[int]]:
     """Texts and 0/1 labels of at most about ``most`` labelled rows, brought to the driver for fitting.
 
     The chosen labels (ids and bits, at most ``most`` rows) are broadcast, so the
-    documents are scanned once and not shuffled.
+    documents are scanned and not shuffled.  An id may stand for many rows; so the
+    rows, too, are chosen down to about ``most``.
     """
-    chosen = bounded_rows(labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_y")), "_id", most)
-    rows = documents.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").collect()
+    usable = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_y"))
+    chosen = bounded_rows(usable, ["_id"], most)
+    found = documents.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = bounded_rows(found, ["_id", "_text"], 2 * most).select("_id", "_text", "_y").collect()
     rows.sort(key=lambda r: (r["_id"], r["_y"], r["_text"]))
     return [r["_text"] for r in rows], [r["_y"] for r in rows]

@@ -34,9 +34,18 @@ _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE
 _SLICE = 65_536
 
 
+def letters(text: str | None) -> str:
+    """The lower-cased text with one space for every run of what is no letter; '' without letters."""
+    out = _NO_LETTER.sub(" ", (text or "").lower()).strip()
+    # word characters that are neither letters nor decimal digits: superscripts, fractions, numerals in circles
+    if odd := [c for c in set(out) if c != " " and not c.isalpha()]:
+        out = " ".join(out.translate(dict.fromkeys(map(ord, odd), " ")).split())
+    return out
+
+
 def subwords(text: str | None) -> list[np.ndarray]:
     """Buckets of all subwords, one array per slice; empty if the text has no letter."""
-    clean = _NO_LETTER.sub(" ", (text or "").lower()).strip()
+    clean = letters(text)
     if not clean:
         return []
     out = []
@@ -123,7 +132,7 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 6
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for at in range(0, len(fit), batch):
-            rows = rng.permutation(fit)[:batch] if at == 0 else fit[at : at + batch]
+            rows = fit[at : at + batch]
             ids = np.concatenate([bags[i][0] for i in rows])
             share = np.concatenate([bags[i][1] for i in rows])
             own = np.repeat(np.arange(len(rows)), [len(bags[i][0]) for i in rows])
@@ -164,7 +173,8 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 6
 
 def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", most: int = 4000) -> LanguageModel:
     """Train on about ``most`` rows (chosen by a hash of the id) with a text and a language."""
-    rows = bounded_rows(documents.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.col(lang_column).alias("_lang")), "_id", most).where("_text is not null").collect()
+    usable = documents.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.col(lang_column).alias("_lang"))
+    rows = bounded_rows(usable.where("_text is not null"), ["_id", "_text"], most).collect()
     rows.sort(key=lambda r: (r["_id"], r["_lang"], r["_text"]))
     return train([r["_text"] for r in rows], [r["_lang"] for r in rows])
 
