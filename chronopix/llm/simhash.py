@@ -2,22 +2,22 @@
 
 Every document gets a 64-bit SimHash of its word shingles.  Two fingerprints
 that differ in at most two bits agree up to one bit in one of two 32-bit
-segments.  So each fingerprint goes into a table under both of its segments,
-looks up the Hamming ball of radius one around each segment, and every match's
-full distance is verified.
-
-A table bucket with more than ``bucket_cap`` fingerprints (groups of near
-copies make such buckets) would give a quadratic number of pairs.  All
-fingerprints that meet in such a bucket take an exact linear way instead: each
-enumerates the radius-one ball around its whole fingerprint (65 values).  Two
-fingerprints are within two bits exactly if these balls share a value, and all
-that share a value are within two bits of each other, so linking each to the
-smallest one there keeps every connection.
+segments.  So each fingerprint goes into a table under both of its segments and
+looks up the Hamming ball of radius one around each segment; whatever meets
+another fingerprint in a bucket is a candidate.
+
+A bucket may hold any number of fingerprints (groups of near copies do that), so
+complete distances are not verified pair by pair.  Each candidate lists the ball
+of radius one around its whole fingerprint (65 values).  Two fingerprints are
+within two bits exactly if these balls share a value; at most 65 share one, all
+of them within two bits of each other, and each is linked to the smallest there,
+which keeps every connection.  This is one way for buckets of every size, and its
+work is linear in the number of fingerprints.
 
 Defined results: null and wordless texts have fingerprint zero and link to each
 other; repeated rows each keep a row; a null id keeps its row and counts for no
-class's smallest id; an empty table gives an empty result; other columns are
-not read.
+class's smallest id; ids may be of any type that has an order; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopix.llm.common import Scratch, map_batches
-from chronopix.llm.components import connected_components
+from chronopix.llm.common import Scratch, map_batches, only, without
+from chronopix.llm.components import connected_components, join_spread
 
 _WEIGHTS = 1 << np.arange(63, -1, -1, dtype=np.uint64)
 
@@ -57,16 +57,17 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(id, th, fp): fp is the fingerprint's 64 bits as a signed long, th Spark's own hash of the text."""
 
     def make():
-        def fn(ids, texts):
-            return [ids, [v - (1 << 64) if v >> 63 else v for v in (fingerprint(t, words, seed) for t in texts)]]
+        def fn(ids, hashes, texts):
+            return [ids, hashes, [v - (1 << 64) if v >> 63 else v for v in (fingerprint(t, words, seed) for t in texts)]]
 
         return fn
 
     kind = dict(documents.dtypes)[id_column]
-    return map_batches(documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), make, ["id", "text"], f"id {kind}, fp long")
+    rows = documents.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).alias("text"))
+    return map_batches(rows, make, ["id", "th", "text"], f"id {kind}, th long, fp long")
 
 
 def _segments(column: str = "fp"):
@@ -83,54 +84,71 @@ def _probes(value):
     return F.concat(F.array(value), F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: value.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))), lambda v: v != value))
 
 
-def links(prints: DataFrame, scratch: Scratch, bucket_cap: int = 4) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within two bits; ``prints``: distinct fp."""
+def candidates(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """The fingerprints (fp) that meet another one within a bit in one of their segments; ``prints``: distinct fp.
+
+    The look-up's join is by segment; a segment that very many share is a large
+    partition, which the adaptive skew join splits.
+    """
     hi, lo = _segments()
     table = prints.select("fp", F.explode(F.array(hi, lo)).alias("key"))
     sizes = table.groupBy("key").agg(F.count("*").alias("n"))
-    probes = prints.select("fp", F.explode(F.concat(_probes(hi), _probes(lo))).alias("key"))
-    matched = scratch.keep(probes.join(sizes, "key").select("fp", "key", "n"), "matched")
-    few = (
-        matched.where((F.col("n") <= bucket_cap))
-        .join(table.withColumnRenamed("fp", "other"), "key")
-        .where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2))
-        .select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    )
-    crowd = matched.where(F.col("n") > bucket_cap).select("fp").distinct()
+    probes = prints.select("fp", F.explode(F.concat(_probes(hi), _probes(lo))).alias("key"), hi.alias("hi"), lo.alias("lo")).select("fp", "key", F.col("key").isin(F.col("hi"), F.col("lo")).alias("own"))
+    met = scratch.keep(probes.join(sizes, "key").where("n > 1 or not own").select("fp", "key", "own"), "met")
+    # a neighbour's look-up finds the bucket; those in it are candidates too
+    found = table.join(met.where("not own").select("key").distinct(), "key", "left_semi")
+    return met.select("fp").unionByName(found.select("fp")).distinct()
+
+
+def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs within two bits; ``prints``: distinct fp."""
     one = F.lit(1).cast("long")
     ball = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i))))
-    stars = crowd.select("fp", F.explode(ball).alias("at"))
+    stars = candidates(prints, scratch).select("fp", F.explode(ball).alias("at"))
     least = stars.groupBy("at").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b <> most").select("at", "b")
-    crowded = stars.join(least, "at").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return few.unionByName(crowded).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    linked = stars.join(least, "at").where("fp <> b").select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"))
+    return linked.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+
+
+def roots(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """``prints`` (distinct fp, other columns) with root, the smallest fingerprint of the class."""
+    found = connected_components(scratch.keep(links(prints.select("fp"), scratch), "links"), scratch)
+    return prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42, bucket_cap: int = 4) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
     """One row per document: id, fp (signed long), component (smallest id reachable over links of at most two bits)."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(documents.sparkSession, "simhash")
     docs = scratch.keep(fingerprints(documents, id_column, text_column, words, seed), "fingerprints")
     prints = scratch.keep(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = connected_components(links(prints.select("fp"), scratch, bucket_cap), scratch)
-    rooted = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = roots(prints, scratch)
     # classes of one fingerprint, nearly all, need no second shuffle
     classes = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = scratch.keep(rooted.join(classes, "root").select("fp", "component"), "classes")
-    return docs.join(named, "fp").select("id", "fp", "component")
+    return join_spread(docs.select("id", "th", "fp"), named, "fp", "id").select("id", "fp", "component")
 
 
-def keep_one_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The documents, all columns, without near-duplicates: of each class the one with the smallest id.
+def keep_one_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+    """The documents, all columns as they are, without near-duplicates: of each class one row.
 
-    Rows of one class that share that id compete and the smallest row stays; rows that share an id
-    with texts of different classes do not.  A row without an id takes part under a hash of its text, behind
-    all rows with one.
+    That is the row with the smallest id (rows without one come last), of several
+    texts under that id the one with the least hash, and of rows that repeat id and
+    text the first by all their columns, written as JSON.  Rows that share an id with texts
+    of different classes do not compete.  Only ids and hashes are shuffled; what
+    goes is taken out of a second scan of the documents.
     """
-    text = F.xxhash64(text_column)
-    key = F.coalesce(F.col(id_column).cast("long"), F.lit(1 << 62) + text.bitwiseAND(F.lit((1 << 61) - 1)))
-    # the text's hash tells rows of one id apart, so that each goes by the class of its own text
-    keyed = documents.withColumn("_key", F.struct(key.alias("id"), text.alias("text")))
-    least = near_duplicates(keyed, "_key", text_column, **options).where("id.id = component.id")
-    chosen = least.groupBy(F.col("id").alias("_key")).agg(F.first("component").alias("_class"))
-    own = keyed.join(chosen, "_key").groupBy("_class").agg(F.min(F.struct(*documents.columns)).alias("row"))
-    return own.select(*(F.col("row")[c].alias(c) for c in documents.columns))
+    scratch = Scratch(documents.sparkSession, "simhash")
+    found = fingerprints(documents, id_column, text_column, words, seed)
+    rows = scratch.keep(found.groupBy("id", "th", "fp").agg(F.count("*").alias("n")), "fingerprints")
+    prints = scratch.keep(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("least")), "distinct")
+    keepers = roots(prints, scratch).groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.th")
+    k, r = keepers.alias("k"), rows.alias("r")
+    kept = F.col("k.th").isNotNull()
+    fate = scratch.keep(r.join(k, F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.th") == F.col("k.th")), "left").where(~kept | (F.col("r.n") > 1)).select("r.id", "r.th", kept.alias("kept")), "fate")
+    left = without(documents, fate, id_column, text_column)
+    again = fate.where("kept")
+    if again.isEmpty():
+        return left
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    first = only(documents, again, id_column, text_column).groupBy(F.col(id_column), F.xxhash64(text_column)).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return left.unionByName(first.select("_row.*"))

@@ -62,17 +62,27 @@ def test_components_of_near_fingerprints_equal_brute_force(spark):
     prints = dict(enumerate(dict.fromkeys(prints)))
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints.values()]
     scratch = Scratch(spark, "test")
-    for cap in (0, 4, 1000):
-        links = simhash.links(spark.createDataFrame(signed, "fp long"), scratch, cap)
-        assert links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2).isEmpty()
-        found = {x["node"]: x["root"] for x in connected_components(links, scratch).collect()}
-        groups = defaultdict(set)
-        for (p,) in signed:
-            groups[found.get(p, p)].add(p)
-        expected = defaultdict(set)
-        for k, root in brute_components(prints).items():
-            expected[root].add(signed[k][0])
-        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    links = simhash.links(spark.createDataFrame(signed, "fp long"), scratch)
+    assert links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2).isEmpty()
+    found = {x["node"]: x["root"] for x in connected_components(links, scratch).collect()}
+    groups = defaultdict(set)
+    for (p,) in signed:
+        groups[found.get(p, p)].add(p)
+    expected = defaultdict(set)
+    for k, root in brute_components(prints).items():
+        expected[root].add(signed[k][0])
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_candidates_are_what_meets_in_a_segment(spark):
+    r = random.Random(8)
+    prints = {r.getrandbits(64) for _ in range(60)}
+    for p in list(prints)[:25]:
+        prints |= {p ^ 1 << r.randrange(64), p ^ 3 << r.randrange(60), p ^ r.getrandbits(32), p ^ r.getrandbits(32) << 32}
+    near = lambda a, b: any(((a ^ b) >> s & 0xFFFFFFFF).bit_count() <= 1 for s in (0, 32))
+    expected = {a for a in prints if any(a != b and near(a, b) for b in prints)}
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    assert {x["fp"] % (1 << 64) for x in simhash.candidates(df, Scratch(spark, "test")).collect()} == expected
 
 
 def test_components_of_chains_stars_and_nothing(spark):
@@ -113,3 +123,21 @@ def test_rows_of_one_id_go_by_their_own_text(spark):
     rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (2, b, "x"), (2, c, "x"), (3, a, "x"), (None, c, "x"), (4, "all on its own here", "x"), (4, "all on its own here", "x")]
     kept = simhash.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
     assert sorted(map(tuple, kept)) == [(1, a, "x"), (1, b, "w"), (2, c, "x"), (4, "all on its own here", "x")]
+
+
+def test_ids_of_any_kind_maps_and_a_key_column(spark):
+    text, other = "alpha beta gamma delta " * 3, "one two three four five six"
+    rows = [("b", text, {"k": 1}, 7), ("a", text, {"k": 2}, 8), ("a", other, {"k": 3}, 9), (None, other, {"k": 4}, 1), ("c", "", {}, 2), ("c", "", {}, 2), ("d", None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, m map<string,int>, _key int").repartition(3)
+    kept = simhash.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["m"], r["_key"]) for r in kept.collect()), key=str) == [("a", {"k": 2}, 8), ("a", {"k": 3}, 9), ("c", {}, 2)]
+    assert {r["id"]: r["component"] for r in simhash.near_duplicates(docs.where("text like 'alpha%'")).collect()} == {"a": "a", "b": "a"}
+
+
+def test_keys_beyond_the_broadcast_are_joined_alike(spark, odd, monkeypatch):
+    from chronopix.llm import common
+
+    few = sorted(str(tuple(r)) for r in simhash.keep_one_each(odd).collect())
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert sorted(str(tuple(r)) for r in simhash.keep_one_each(odd).collect()) == few
