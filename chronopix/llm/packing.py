@@ -1,18 +1,24 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the
-driver.  There up to 200 rounds of a knapsack dynamic program each pick the fullest
-configuration (multiset of lengths that fits a sequence) of what is left, with
-weights that fall slightly as a length is covered.  That is a greedy pass, not a
-solved configuration linear program.  It is rounded down to whole copies that
-the counts still allow, and what is left, with many lengths most of all pieces,
-is packed best-fit-decreasing on the histogram, all equal sequences at a time.  Pieces then find their place from their rank
-within their length: ranks come from counts per (bucket, length), so no task
-ranks a whole length.
+driver.  There the configuration linear program (fewest sequences, each a
+multiset of lengths that fits, so that every length is covered as often as it
+occurs) is solved by multiplicative weights: a length's weight is its price, a
+knapsack dynamic program finds the configuration of the highest price, this one
+is taken until one of its lengths is covered, the prices of its lengths fall
+exponentially in the share of them that it covered, and covered lengths drop
+out.  Every pricing also gives a dual bound.  Passes repeat, with the weights of
+lengths in badly filled configurations raised, until the value is within ``eps``
+of the best bound.  The solution is rounded to whole copies, fullest first, and
+what rounding leaves over goes best-fit-decreasing into the gaps of those copies
+and into further sequences.  Pieces then find their place from their rank within
+their length: ranks come from counts per (bucket, length), so no task ranks a
+whole length.
 
 Defined results: a null text is an empty one and gives the end token alone;
-repeated rows are packed each by itself; an empty table gives an empty result;
-other columns are not read.
+repeated rows are packed each by itself; pieces of one length are interchangeable,
+so ties go by id and piece; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -88,35 +94,95 @@ def pieces(documents: DataFrame, tokenizer_path: str | Callable[[], str], id_col
     return map_batches(documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), make, ["id", "text"], f"id {kind}, piece int, start long, length int, crc long")
 
 
-def knapsack(values: np.ndarray, most: np.ndarray, capacity: int) -> list[int]:
-    """Lengths of the most valuable multiset of total at most capacity; length k + 1 has values[k] and is there most[k] times.
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, list[int]]:
+    """The highest price of a multiset of lengths of total at most capacity, and its lengths, longest first.
 
-    A 0/1 dynamic program over bundles of 1, 2, 4, ... equal lengths.
+    Length k + 1 has prices[k]; lengths of no positive price are left out.  Of equal
+    choices the longest piece wins.
     """
-    bundles = []
-    for k in np.flatnonzero((values > 0) & (most > 0))[::-1].tolist():
-        n, part = min(int(most[k]), capacity // (k + 1)), 1
-        while n > 0:
-            part = min(part, n)
-            bundles.append((part * (k + 1), part * float(values[k]), k + 1, part))
-            n -= part
-            part *= 2
-    best, taken = np.zeros(capacity + 1), np.zeros((len(bundles), capacity + 1), bool)
-    for i, (size, worth, _, _) in enumerate(bundles):
-        with_it = best[: capacity + 1 - size] + worth
-        better = with_it > best[size:] + 1e-12
-        taken[i, size:] = better
-        best[size:] = np.where(better, with_it, best[size:])
-    out, c = [], int(best.argmax())
-    for i in range(len(bundles) - 1, -1, -1):
-        if taken[i, c]:
-            out += [bundles[i][2]] * bundles[i][3]
-            c -= bundles[i][0]
+    back = np.where(prices > 0, prices, -np.inf)[::-1].astype(float)
+    best, pick = np.zeros(capacity + 1), [0] * (capacity + 1)
+    for c in range(1, capacity + 1):
+        worth = best[:c] + back[capacity - c :]  # at i: a piece of c - i on top of the best of i
+        i = int(worth.argmax())
+        if worth[i] > best[c - 1] + 1e-15:
+            best[c], pick[c] = worth[i], c - i
+        else:
+            best[c] = best[c - 1]
+    out, c = [], capacity
+    while c > 0:
+        if pick[c]:
+            out.append(pick[c])
+            c -= pick[c]
+        else:
+            c -= 1
+    return float(best[capacity]), sorted(out, reverse=True)
+
+
+@dataclass
+class Cover:
+    """A solution of the configuration program: copies of each configuration, their sum, and the best dual bound."""
+
+    copies: dict[tuple[int, ...], float]
+    value: float
+    bound: float
+
+
+def cover(need: np.ndarray, capacity: int, eps: float = 0.01, rate: float = 0.3, passes: int = 4) -> Cover:
+    """Covers every length exactly, by multiplicative weights; ``need[k]`` pieces of length k + 1.
+
+    Ends with the first pass whose value is at most 1 + eps times the dual bound, or with the best of all passes.
+    """
+    share = np.arange(1, capacity + 1) / capacity
+    weights, out = np.ones(capacity), None
+    if not need.any():
+        return Cover({}, 0.0, 0.0)
+    fair = np.where(need > 0, share, 0)
+    bound = float((need * fair).sum()) / knapsack(fair, capacity)[0]
+    for _ in range(passes):
+        # at first a price is nearly the length's share; a little more for long pieces, which are hardest to place
+        prices, left, copies = share**1.1 * weights, need.astype(float), {}
+        lost, seen = np.zeros(capacity), np.zeros(capacity)
+        while left.any():
+            live = np.where(left > 0, prices, 0)
+            worth, config = knapsack(live, capacity)
+            bound = max(bound, float((need * live).sum()) / worth)
+            kinds, times = np.unique(config, return_counts=True)
+            kinds -= 1
+            step = float((left[kinds] / times).min())
+            copies[tuple(config)] = copies.get(tuple(config), 0.0) + step
+            left[kinds] -= times * step
+            left[left < 1e-6] = 0
+            prices[kinds] *= np.exp(-rate * times * step / need[kinds])
+            lost[kinds] += times * step * (1 - sum(config) / capacity)
+            seen[kinds] += times * step
+        value = sum(copies.values())
+        if out is None or value < out.value:
+            out = Cover(copies, value, bound)
+        if out.value <= (1 + eps) * bound:
+            break
+        badly = lost / np.maximum(seen, 1e-9)
+        weights *= np.exp(rate * badly / max(badly.max(), 1e-9))
+    out.bound = bound
     return out
 
 
-def best_fit(need: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
-    """Best-fit-decreasing on a histogram: {lengths of a sequence: copies}; equal sequences go together."""
+def rounded(copies: dict[tuple[int, ...], float], need: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """Whole copies of a solution's configurations, fullest first, first rounded down and then up while the pieces last; and the pieces left over."""
+    left, plan = need.astype(np.int64), {}
+    order = sorted(copies.items(), key=lambda kv: (-sum(kv[0]), -kv[1], kv[0]))
+    for whole in (math.floor, math.ceil):
+        for config, x in order:
+            kinds, times = np.unique(config, return_counts=True)
+            n = min(whole(x) - plan.get(config, 0), int((left[kinds - 1] // times).min()))
+            if n > 0:
+                plan[config] = plan.get(config, 0) + n
+                left[kinds - 1] -= times * n
+    return plan, left
+
+
+def best_fit(need: np.ndarray, capacity: int, started: dict[tuple[int, ...], int] | None = None) -> dict[tuple[int, ...], int]:
+    """Best-fit-decreasing on a histogram, into the gaps of ``started`` and new sequences: {lengths of a sequence: copies}; equal sequences go together."""
     by_gap: dict[int, dict[tuple[int, ...], int]] = {}
     gaps: list[int] = []  # those in use, in order
 
@@ -126,6 +192,8 @@ def best_fit(need: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
             insort(gaps, gap)
         by_gap[gap][config] = by_gap[gap].get(config, 0) + copies
 
+    for config, copies in (started or {}).items():
+        put(config, copies, capacity - sum(config))
     for length in np.flatnonzero(need)[::-1].tolist():
         length += 1
         n = int(need[length - 1])
@@ -156,48 +224,18 @@ def best_fit(need: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
     return out
 
 
-def solve(counts: dict[int, int], capacity: int, rounds: int = 200, rate: float = 0.05, step: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
+def solve(counts: dict[int, int], capacity: int, eps: float = 0.01) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths in a sequence, longest first; copies)]: a packing of exactly ``counts``, near the fewest sequences."""
     need = np.zeros(capacity, np.int64)
     for length, n in counts.items():
         need[length - 1] = n
-    plan: dict[tuple[int, ...], int] = {}
-
-    def use(config: tuple[int, ...], copies: int) -> None:
-        key = tuple(sorted(config, reverse=True))
-        plan[key] = plan.get(key, 0) + copies
-        for length in config:
-            need[length - 1] -= copies
-
-    if need[capacity - 1]:
-        use((capacity,), int(need[capacity - 1]))
-    # a greedy pass over configurations; a weight is its length's share of a sequence
-    # (to a power over 1, so that of equally full ones the configuration with the longer pieces wins), lowered as it is covered
-    target, covered = need.astype(float), np.zeros(capacity)
-    here = target > 0
-    size = (np.arange(1, capacity + 1) / capacity) ** 1.1
-    solution: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        left = target - covered
-        open_ = here & (left >= 1)
-        if not open_.any():
-            break
-        weights = np.where(open_, size * np.exp(-rate * covered / np.maximum(target, 1)), 0)
-        config = knapsack(weights, left.astype(np.int64), capacity)
-        kinds, times = np.unique(config, return_counts=True)
-        copies = max(1.0, float((left[kinds - 1] / times).min()) * step)
+    full, need[capacity - 1] = int(need[capacity - 1]), 0
+    plan, left = rounded(cover(need, capacity, eps).copies, need, capacity)
+    out: dict[tuple[int, ...], int] = {(capacity,): full} if full else {}
+    for config, copies in best_fit(left, capacity, plan).items():
         key = tuple(sorted(config, reverse=True))
-        solution[key] = solution.get(key, 0.0) + copies
-        covered[kinds - 1] += times * copies
-    # round down, fullest first
-    for config, x in sorted(solution.items(), key=lambda kv: (-sum(kv[0]), kv[0])):
-        kinds, times = np.unique(config, return_counts=True)
-        copies = min(math.floor(x), int((need[kinds - 1] // times).min()))
-        if copies > 0:
-            use(config, copies)
-    for config, copies in best_fit(need, capacity).items():
-        use(config, copies)
-    return sorted(plan.items())
+        out[key] = out.get(key, 0) + copies
+    return sorted(out.items())
 
 
 @dataclass

@@ -27,23 +27,48 @@ def test_cut():
     assert packing.cut(1, 10) == [(0, 1)] and packing.cut(10, 10) == [(0, 10)] and packing.cut(21, 10) == [(0, 1), (1, 10), (11, 10)] and packing.cut(0, 10) == []
 
 
-def best(values, most, c):
+def brute_price(prices, c):
     table = [0.0] * (c + 1)
-    for n, (v, k) in enumerate(zip(values, most, strict=True), 1):
-        for _ in range(k):
-            for at in range(c, n - 1, -1):
-                table[at] = max(table[at], table[at - n] + v)
-    return max(table)
+    for at in range(1, c + 1):
+        table[at] = max([table[at - 1], *(table[at - n] + v for n, v in enumerate(prices[:at], 1) if v > 0)])
+    return table[c]
 
 
 def test_knapsack_is_optimal():
     r = np.random.default_rng(2)
     for _ in range(30):
-        values, most = r.random(30) * (r.random(30) < 0.4), r.integers(0, 5, 30)
-        got = packing.knapsack(values, most, 30)
-        used = Counter(got)
-        assert sum(got) <= 30 and all(k <= most[n - 1] for n, k in used.items())
-        assert sum(values[n - 1] for n in got) == pytest.approx(best(values, most, 30))
+        prices = r.random(30) * (r.random(30) < 0.4)
+        worth, got = packing.knapsack(prices, 30)
+        assert sum(got) <= 30 and all(prices[n - 1] > 0 for n in got)
+        assert sum(prices[n - 1] for n in got) == pytest.approx(worth) == pytest.approx(brute_price(prices.tolist(), 30))
+
+
+def histogram(texts):
+    encode = packing.Encoder(tokenizer_path())
+    return Counter(n for t in texts for _, n in packing.cut(len(encode(t or "")) // 4 + 1, 1024))
+
+
+def test_configurations_solve_the_program_and_place_nearly_all(spark, sf):
+    counts = histogram(r["text"] for r in spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/documents.parquet").select("text").collect())
+    need = np.array([counts.get(k, 0) for k in range(1, 1024)] + [0])
+    got = packing.cover(need, 1024)
+    covered = np.zeros(1024)
+    for config, x in got.copies.items():
+        assert sum(config) <= 1024
+        for n in config:
+            covered[n - 1] += x
+    assert np.allclose(covered, need) and got.value <= 1.01 * got.bound
+    plan, left = packing.rounded(got.copies, need, 1024)
+    assert left.min() >= 0 and sum(len(c) * n for c, n in plan.items()) >= 0.9 * need.sum()
+    n = sum(k for _, k in packing.solve(counts, 1024))
+    assert n <= sum(packing.best_fit(need, 1024).values()) + counts[1024] and n >= got.bound + counts[1024]
+
+
+def test_the_bound_sees_what_cannot_be_combined():
+    need = np.zeros(100, np.int64)
+    need[59], need[34] = 50, 10  # sixty and thirty-five go together, sixties do not
+    got = packing.cover(need, 100)
+    assert got.value == pytest.approx(50) and got.bound == pytest.approx(50, rel=0.01)
 
 
 def test_grouped_best_fit_is_best_fit():
