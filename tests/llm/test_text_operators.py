@@ -32,19 +32,40 @@ def brute_tiles(a, b, least):
         mb.update(range(best[2], best[2] + best[0]))
 
 
-def test_tiling_covers_as_the_definition():
+def tiles_of(item, doc, least):
+    a, b = (decontaminate.seeds(decontaminate.word_hashes(x), least) for x in (item, doc))
+    return decontaminate.tile(a, b, np.arange(len(b)), least)
+
+
+def test_tiling_is_the_definition():
     r = np.random.default_rng(8)
-    for _ in range(60):
-        item = [f"w{k}" for k in r.integers(0, 6, r.integers(3, 25))]
-        doc = [f"w{k}" for k in r.integers(0, 7, r.integers(0, 60))]
+    for _ in range(150):
+        item = [f"w{k}" for k in r.integers(0, r.integers(1, 7), r.integers(3, 25))]
+        doc = [f"w{k}" for k in r.integers(0, r.integers(1, 8), r.integers(0, 60))]
         if r.random() < 0.5:
             doc[5:5] = item[10:] + item[:10]
-        block = decontaminate.TestSet([("i", " ".join(item))], 3)
-        got = block.match(" ".join(doc), 0.0)
-        tiles = brute_tiles(item, doc, 3)
-        covered = sum(t[0] for t in tiles)
-        assert (round(got[0][1] * len(item)) if got else 0) == pytest.approx(covered, abs=2)
-        assert (got[0][3] if got else 0) == max((t[0] for t in tiles), default=0)
+        assert tiles_of(item, doc, 3) == brute_tiles(item, doc, 3)
+
+
+def test_running_hashes_are_those_of_each_run():
+    ids = np.random.default_rng(1).integers(0, 2**63, 40, np.uint64)
+    for size in (1, 2, 3, 5, 8, 13, 40, 41):
+        expected = []
+        for i in range(len(ids) - size + 1):
+            h = 0
+            for v in ids[i : i + size].tolist():
+                h = (h * int(decontaminate._BASE) + v + 1) % 2**64
+            expected.append(h)
+        assert decontaminate.running_hashes(ids, size).tolist() == expected
+
+
+def test_one_word_over_and_over_is_tiled_at_once():
+    import time
+
+    start = time.perf_counter()
+    assert tiles_of(["a"] * 300, ["a"] * 200_000, 5) == [(300, 0, 0)]
+    assert sum(t[0] for t in tiles_of((["a"] * 30 + ["b"]) * 10, (["a"] * 29 + ["c"]) * 4000, 5)) == 290
+    assert time.perf_counter() - start < 10
 
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -53,27 +74,75 @@ ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi
 def test_reordered_passages_count_and_others_do_not(spark):
     words = ITEM.split()
     docs = [(1, ITEM.upper()), (2, " ".join(words[10:]) + " filler words " + " ".join(words[:10])), (3, " ".join(words[:6])), (4, " ".join(reversed(words))), (5, None), (6, ""), (7, "x " * 50_000 + ITEM + " y" * 50_000), (7, ITEM)]
-    bench = [(1, ITEM), (2, None), (3, "too short"), (4, ITEM)]
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    bench = [(1, ITEM), (2, None), (3, "Too, short"), (4, ITEM), (5, "nowhere at all")]
+    d, b = spark.createDataFrame([*docs, (8, "this one is too short?"), (9, "too much, short")], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     got = sorted((r["id"], r["item"]) for r in decontaminate.matches(d, b).collect())
-    assert got == [(k, i) for k in (1, 2, 7, 7) for i in (1, 4)] or got == sorted((k, i) for k in (1, 2, 7, 7) for i in (1, 4))
-    assert sorted((r["id"], r["item"]) for r in decontaminate.matches(d, b, block_words=3).collect()) == got
-    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(d, b).collect()) == [3, 4, 5, 6]
+    assert got == sorted([(k, i) for k in (1, 2, 7, 7) for i in (1, 4)] + [(8, 3)])
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(d, b).collect()) == [3, 4, 5, 6, 9]
     assert decontaminate.matches(d, b.limit(0)).count() == 0 and decontaminate.matches(d.limit(0), b).count() == 0
 
 
-def test_decontamination_query_finds_exact_passages(spark, sf):
-    split = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
-    docs = {r["doc_id"]: split(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    items = {r["item_id"]: split(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    exact = {(k, i) for k, t in docs.items() for i, x in items.items() if f" {x} " in f" {t} "}
-    rows = op6_decontamination(spark, sf).collect()
-    got = {(r["doc_id"], r["item_id"]) for r in rows if r["coverage"] == 1}
-    assert exact and exact <= got
-
-
-def test_decontamination_odd_rows(odd, spark):
-    assert decontaminate.matches(odd, spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog")], "item_id long, text string")).count() == 4
+def brute_matches(docs, items, least=5, coverage=0.5):
+    """Tiling of every document with every item, by the definition; whole runs for short items."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = []
+    for key, text in docs:
+        words = split(text)
+        for item, own in items:
+            own = split(own)
+            grams = lambda x, k: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+            k = min(least, len(own))
+            if not own or not grams(own, k) & grams(words, k):
+                continue
+            tiles = brute_tiles(own, words, k)
+            share = sum(t[0] for t in tiles) / len(own)
+            if share >= coverage:
+                out.append((key, item, share, len(tiles), tiles[0][0]))
+    return sorted(out)
+
+
+def test_matches_equal_brute_force(spark):
+    r = np.random.default_rng(12)
+    words = [f"v{k}" for k in range(40)]
+    text = lambda n: [words[k] for k in r.integers(0, 40, n)]
+    shared = text(7)  # a phrase of very many items and documents
+    items = [(k, " ".join((shared if k % 2 else []) + text(int(r.integers(1, 30))))) for k in range(25)]
+    docs = []
+    for k in range(120):
+        body = text(int(r.integers(0, 50)))
+        for _ in range(int(r.integers(0, 3))):
+            own = items[int(r.integers(0, 25))][1].split()
+            cut = int(r.integers(0, len(own)))
+            body[3:3] = own[cut:] + text(2) + own[:cut]
+        docs.append((k, " ".join(body + (shared if k % 3 else []))))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x["id"], x["item"], x["coverage"], x["tiles"], x["longest"]) for x in decontaminate.matches(d, b).collect())
+    assert got == brute_matches(docs, items) and len(got) > 50
+
+
+def test_reordered_items_in_real_documents_are_all_found(spark, sf):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400").limit(len(items)).collect()]
+    docs = []
+    for (key, item), text in zip(items, texts, strict=False):
+        own, at = item.split(), len(item.split()) // 2
+        docs.append((key, f"{text[:200]} {' '.join(own[at:])} {text[200:400]} {' '.join(own[:at])} {text[400:]}"))
+    got = {(r["id"], r["item"]) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert {(k, k) for k, _ in docs} <= got
+
+
+def test_decontamination_query_equals_brute_force(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    got = sorted((r["doc_id"], r["item_id"], r["coverage"], r["tiles"], r["longest"]) for r in op6_decontamination(spark, sf).collect())
+    assert got == brute_matches(docs, items) and got
+
+
+def test_decontamination_odd_rows(odd, empty, spark):
+    bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog"), (2, None), (3, "?")], "item_id long, text string")
+    assert decontaminate.matches(odd, bench).count() == 4
+    kept = decontaminate.keep_clean(odd, bench)
+    assert kept.columns == odd.columns and kept.count() == 9 and decontaminate.keep_clean(empty, bench).count() == 0
 
 
 # -- licenses
