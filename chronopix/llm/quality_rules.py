@@ -1,23 +1,29 @@
 """Quality rules whose cutoffs are certified to reject few good documents.
 
-Five signals are computed from each text with built-in functions only.  Labelled
-good documents, split into strata by length, are the holdout: for every rule,
-stratum and candidate cutoff, the number of good documents that it would reject
-gives an exact binomial p-value of "more than ``alpha`` of good documents of this
-stratum are rejected".  Candidates are tried from lenient to strict (fixed
-sequence), every rule and stratum at level ``delta`` divided by their number
-(Bonferroni), so with probability 1 - ``delta`` no chosen cutoff breaks its
-bound.  The strictest certified cutoff holds; a rule that has none in a stratum
-rejects nothing there.
+Five signals are computed from each text with built-in functions only.  Each rule
+measures one of them in thousandths of a usual limit, and a document's score is
+the largest of these; what scores over its stratum's cutoff is rejected.
+Labelled good documents, split into strata by length, are the holdout.  With n of
+them in a stratum, the exact binomial distribution gives the largest number k so
+that k or fewer rejected ones have a probability of at most ``delta`` over the
+number of strata (Bonferroni) if more than ``alpha`` of all good documents were
+rejected; the holdout's own score that leaves at most k above it is then the
+strictest cutoff certified.  k depends on n alone, so no data are looked at twice:
+with probability 1 - ``delta`` or more, the whole verdict rejects at most
+``alpha`` of the good documents that pass the base rule, in every stratum at once.
+A more lenient cutoff keeps the bound; so of those that reject the same labelled
+bad documents as the strictest, the most lenient holds.  A stratum too small for
+any certificate rejects nothing.
 
 Everything is DataFrame functions: no Python code sees a row.  Long arrays are
-sorted within their row, so there is no shuffle of words.
+sorted within their row, so there is no shuffle of words.  Scores are whole
+numbers with a ceiling, so the holdout's histogram is bounded whatever its size.
 
 Defined results: null and blank texts have no words and fail the base rule; very
-long texts are read whole; repeated rows each get their result; labels that are
-null or neither 0 nor 1 and ids without a document do not count; without good
-labels only the base rule rejects; an empty table gives an empty result; other
-columns are not read.
+long texts are read whole; repeated rows each get their result, and equal texts
+count once in the holdout; labels that are null or neither 0 nor 1 and ids
+without a document do not count; without good labels only the base rule rejects;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopix.llm.common import Scratch
@@ -33,17 +39,19 @@ from chronopix.llm.common import Scratch
 _BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
-#: name: (numerator, denominator, sign, candidate cutoffs in percent from lenient to strict)
-#: A rule rejects if 100 * numerator > cutoff * denominator (sign 1), or < (sign -1).
-RULES: dict[str, tuple[str, str, int, tuple[int, ...]]] = {
-    "symbols": ("n_symbols", "n_words", 1, (300, 200, 150, 100, 75, 50, 40, 30, 20, 15, 10, 5)),
-    "dup_lines": ("n_dup_lines", "n_lines", 1, (90, 80, 70, 60, 50, 40, 30, 20, 10)),
-    "repeats": ("n_repeat_words", "n_words", 1, (48, 45, 40, 35, 30, 25, 20, 15, 10, 5)),
-    "long_words": ("word_chars", "n_words", 1, (2000, 1500, 1300, 1200, 1100, 1000, 950, 900, 850, 800)),
-    "short_words": ("word_chars", "n_words", -1, (150, 200, 250, 300, 325, 350, 375, 400, 425, 450)),
+#: name: (numerator, denominator, factor of the numerator, of the denominator): a thousand is the usual limit, which is
+#: ten symbols in a hundred words, three repeated lines in ten, one repeated word in five, ten characters a word, three characters a word.
+RULES: dict[str, tuple[str, str, int, int]] = {
+    "symbols": ("n_symbols", "n_words", 10_000, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 3),
+    "repeats": ("n_repeat_words", "n_words", 5_000, 1),
+    "long_words": ("word_chars", "n_words", 100, 1),
+    "short_words": ("n_words", "word_chars", 3_000, 1),
 }
+#: Scores end here, a hundred times the usual limit.
+CEILING = 100_000
 #: Strata by the number of words: below each bound, and the rest.
-STRATA = (50, 200, 800)
+STRATA = (200, 800)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -75,7 +83,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def signals(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words), one row per document."""
+    """(id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, th), one row per document; th: the text's hash."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = documents.select(F.col(id_column).alias("id"), text.alias("text"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -83,12 +91,13 @@ def signals(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     removed = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
     rows = rows.select(
         "id",
+        F.xxhash64("text").alias("th"),
         (F.length("text") - removed(_BLANKS)).cast("long").alias("word_chars"),
         removed(SYMBOLS).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("line"),
         _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("rep"))).alias("word"),
     )
-    return rows.select("id", F.col("word.n").alias("n_words"), "word_chars", "n_symbols", F.col("line.n").alias("n_lines"), F.col("line.dup").alias("n_dup_lines"), F.col("word.rep").alias("n_repeat_words"))
+    return rows.select("id", F.col("word.n").alias("n_words"), "word_chars", "n_symbols", F.col("line.n").alias("n_lines"), F.col("line.dup").alias("n_dup_lines"), F.col("word.rep").alias("n_repeat_words"), "th")
 
 
 def base_failed() -> Column:
@@ -102,66 +111,67 @@ def stratum() -> Column:
     return out
 
 
-def _rejects(rule: str, cutoff: Column) -> Column:
-    above, below, sign, _ = RULES[rule]
-    left, right = F.lit(100) * F.col(above), cutoff * F.col(below)
-    return left > right if sign > 0 else left < right
+def rule_score(rule: str) -> Column:
+    above, below, times, by = RULES[rule]
+    exact = F.call_function("div", F.col(above) * times, F.greatest(F.col(below), F.lit(1)) * by)
+    return F.least(F.lit(CEILING).cast("long"), exact)
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) of X ~ Binomial(n, p), exact; 1 where k >= n * p (there it is never small).
-
-    The log of the term at k, times the sum of the terms below it relative to it.
-    """
-    k, n = k.cast("double"), n.cast("double")
-    upto = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    log_term = F.aggregate(upto, F.lit(0.0), lambda a, j: a + F.log((n - k + j) / j)) + k * F.lit(math.log(p)) + (n - k) * F.lit(math.log1p(-p))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-
-    def down(a: Column, i: Column) -> Column:
-        term = a["term"] * (k - i + 1) / (n - k + i) * F.lit((1 - p) / p)
-        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
-
-    rest = F.aggregate(upto, start, down, lambda a: a["sum"])
-    return F.when(k >= n * F.lit(p), F.lit(1.0)).otherwise(F.exp(log_term) * rest)
+def score() -> Column:
+    return F.greatest(*(rule_score(r) for r in RULES))
 
 
-def cutoffs(good: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """One row per stratum of ``good`` (signals of good documents): stratum, n, and each rule's cutoff or null.
+def most_rejected(n: Column, alpha: float, level: float) -> Column:
+    """The largest k with P(X <= k) <= level for X ~ Binomial(n, alpha), exact; -1 if there is none.
 
-    One aggregation of sums per stratum, combined before the shuffle; what follows has at most four rows.
+    Terms and their sum are carried as logarithms, from 0 up to the mean (beyond it the sum is never small).
     """
-    level = delta / (len(RULES) * len(STRATA))
-    sums = [F.sum(_rejects(r, F.lit(c)).cast("long")).alias(f"{r}_{c}") for r, (_, _, _, grid) in RULES.items() for c in grid]
-    counted = good.where(~base_failed()).withColumn("stratum", stratum()).groupBy("stratum").agg(F.count("*").alias("n"), *sums)
-    tries = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.col(f"{r}_{c}").alias("k")) for r, (_, _, _, grid) in RULES.items() for c in grid))
-    # the rejected counts only grow along the grid, and with them the p-values: the first failure ends the sequence
-    passed = counted.select("stratum", "n", F.filter(tries, lambda t: binomial_tail(t["k"], F.col("n"), alpha) <= F.lit(level)).alias("passed"))
-    last = lambda r: F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform(F.filter("passed", lambda t: t["r"] == r), lambda t: t["c"])), -1)
-    return passed.select("stratum", "n", *(last(r).alias(r) for r in RULES))
-
-
-def judge(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """One row per document: id, the signals, base_failed, stratum, failed (array of rules), kept."""
+    n = n.cast("double")
+    first = n * F.lit(math.log1p(-alpha))
+    start = F.struct(first.alias("term"), first.alias("sum"), F.when(first <= F.lit(math.log(level)), F.lit(0)).otherwise(F.lit(-1)).alias("k"))
+
+    def up(a: Column, i: Column) -> Column:
+        term = a["term"] + F.log((n - i + 1) / i) + F.lit(math.log(alpha) - math.log1p(-alpha))
+        total = F.greatest(a["sum"], term) + F.log1p(F.exp(-F.abs(a["sum"] - term)))
+        return F.struct(term.alias("term"), total.alias("sum"), F.when(total <= F.lit(math.log(level)), i).otherwise(a["k"]).alias("k"))
+
+    mean = F.floor(n * F.lit(alpha)).cast("int")
+    steps = F.when(mean > 0, F.sequence(F.lit(1), mean)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, start, up, lambda a: a["k"])
+
+
+def cutoffs(labelled: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """(stratum, n, cutoff or null) from ``labelled``: stratum, score and good (1 or 0), a row for each text."""
+    level = delta / (len(STRATA) + 1)
+    hist = labelled.groupBy("stratum", "score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    above = Window.partitionBy("stratum").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = hist.withColumn("rejected", F.coalesce(F.sum("good").over(above), F.lit(0)))
+    allowed = hist.groupBy("stratum").agg(F.sum("good").alias("n")).withColumn("most", most_rejected(F.col("n"), alpha, level))
+    strictest = counted.join(allowed, "stratum").where("rejected <= most").groupBy("stratum", "n").agg(F.min("score").alias("least"))
+    caught = hist.where("bad > 0").select("stratum", F.col("score").alias("caught"))
+    return strictest.join(caught, "stratum", "left").groupBy("stratum", "n", "least").agg(F.min(F.when(F.col("caught") > F.col("least"), F.col("caught"))).alias("caught")).select("stratum", "n", F.coalesce(F.col("caught") - 1, F.col("least")).alias("cutoff"))
+
+
+def judge(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """One row per document: id, the signals, base_failed, stratum, score, failed (array of rules), kept."""
     scratch = Scratch(documents.sparkSession, "rules")
-    rows = scratch.keep(signals(documents, id_column, text_column), "signals")
-    good = labels.where(F.col(label_column) == 1).select(F.col(id_column).alias("id")).where("id is not null").distinct()
-    chosen = cutoffs(rows.join(good, "id", "left_semi"), alpha, delta)
-    ruled = rows.withColumn("stratum", stratum()).join(F.broadcast(chosen.drop("n")), "stratum", "left")
-    failed = F.filter(F.array(*(F.when(_rejects(r, F.col(r)), F.lit(r)) for r in RULES)), lambda r: r.isNotNull())
-    return ruled.select("id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "stratum", failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    rows = scratch.keep(signals(documents, id_column, text_column).withColumns({"stratum": stratum(), "score": score()}), "signals")
+    usable = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label_column).cast("long").alias("good")).where("id is not null").distinct()
+    texts = rows.where(~base_failed()).select("id", "th", "stratum", "score").distinct()
+    chosen = cutoffs(texts.join(usable, "id").select("th", "stratum", "score", "good").distinct(), alpha, delta)
+    ruled = rows.join(F.broadcast(chosen.drop("n")), "stratum", "left")  # a row a stratum
+    failed = F.filter(F.array(*(F.when(rule_score(r) > F.col("cutoff"), F.lit(r)) for r in RULES)), lambda r: r.isNotNull())
+    return ruled.select("id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "stratum", "score", failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
-def oracle_sql(alpha: float = 0.01, delta: float = 0.05) -> str:
+def oracle_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
     """The same in DuckDB's SQL, for a table documents(doc_id, text) and labels(doc_id, quality)."""
-    level = delta / (len(RULES) * len(STRATA))
-    rejects = lambda r, c: f"100 * {RULES[r][0]} {'>' if RULES[r][2] > 0 else '<'} {c} * {RULES[r][1]}"
+    level = delta / (len(STRATA) + 1)
     failing = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
     strata = "CASE " + " ".join(f"WHEN n_words < {b} THEN {k}" for k, b in enumerate(STRATA)) + f" ELSE {len(STRATA)} END"
-    counts = " UNION ALL ".join(f"SELECT {strata} AS stratum, '{r}' AS rule, {k} AS place, {c} AS c, count(*) AS n, count(*) FILTER ({rejects(r, c)}) AS k FROM good GROUP BY 1" for r, (_, _, _, grid) in RULES.items() for k, c in enumerate(grid))
+    scored = ", ".join(f"least({CEILING}, {above} * {times} // (greatest({below}, 1) * {by}))" for above, below, times, by in RULES.values())
     term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r}))"
     tail = f"list_sum(list_transform(range(0, k + 1), lambda i: {term}))"
-    keeps = " AND ".join(f"NOT coalesce((SELECT {rejects(r, 'x.c')} FROM chosen x WHERE x.stratum = s.stratum AND x.rule = '{r}'), FALSE)" for r in RULES)
     blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
@@ -171,15 +181,17 @@ win AS (SELECT row, i, [words[i], words[i + 1], words[i + 2]] AS win FROM (SELEC
 rep AS (SELECT row, count(DISTINCT p) AS n FROM (
           SELECT a.row, unnest([a.i, a.i + 1, a.i + 2]) AS p FROM win a
           JOIN (SELECT row, win FROM win GROUP BY row, win HAVING count(*) > 1) b ON a.row = b.row AND a.win = b.win) GROUP BY row),
-s0 AS (SELECT t.doc_id, len(w.words) AS n_words, length(text) - (length(text) - length(translate(text, {blanks}, ''))) AS word_chars,
+s0 AS (SELECT t.doc_id, t.text, len(w.words) AS n_words, length(text) - (length(text) - length(translate(text, {blanks}, ''))) AS word_chars,
              length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols, len(lines) AS n_lines,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
       FROM t JOIN w USING (row) LEFT JOIN rep USING (row)),
-s AS (SELECT *, {strata} AS stratum FROM s0),
-good AS (SELECT * FROM s0 WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND NOT ({failing})),
-counted AS ({counts}),
-tried AS (SELECT *, k < n * {alpha!r} AND {tail} <= {level!r} AS ok FROM counted),
-chosen AS (SELECT stratum, rule, arg_max(c, place) AS c FROM tried WHERE ok GROUP BY stratum, rule)
+s AS (SELECT *, {strata} AS stratum, greatest({scored}) AS score FROM s0),
+held AS (SELECT DISTINCT text, stratum, score, quality FROM s JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IN (0, 1)) USING (doc_id) WHERE NOT ({failing})),
+strata AS (SELECT stratum, count(*) FILTER (quality = 1) AS n FROM held GROUP BY stratum),
+allowed AS (SELECT stratum, n, (SELECT coalesce(max(k), -1) FROM (SELECT n, unnest(range(0, CAST(floor(n * {alpha!r}) AS BIGINT) + 1)) AS k) WHERE {tail} <= {level!r}) AS most FROM strata),
+strict AS (SELECT h.stratum, min(h.score) AS least FROM (SELECT DISTINCT stratum, score FROM held) h JOIN allowed a USING (stratum)
+           WHERE (SELECT count(*) FROM held g WHERE g.stratum = h.stratum AND g.quality = 1 AND g.score > h.score) <= a.most GROUP BY h.stratum),
+chosen AS (SELECT stratum, coalesce((SELECT min(score) FROM held b WHERE b.stratum = c.stratum AND b.quality = 0 AND b.score > c.least) - 1, least) AS cutoff FROM strict c)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words, ({failing}) AS base_failed, NOT ({failing}) AND {keeps} AS kept
-FROM s"""
+       n_repeat_words::BIGINT AS n_repeat_words, ({failing}) AS base_failed, NOT ({failing}) AND NOT coalesce(score > cutoff, FALSE) AS kept
+FROM s LEFT JOIN chosen USING (stratum)"""

@@ -247,38 +247,73 @@ def brute_signals(text):
 
 
 def test_signals_equal_brute_force(odd, odd_rows):
-    got = sorted(tuple(r)[1:4] + tuple(r)[5:] for r in quality_rules.signals(odd).collect())
+    got = sorted(tuple(r)[1:4] + tuple(r)[5:7] for r in quality_rules.signals(odd).collect())
     assert got == sorted(brute_signals(r[1]) for r in odd_rows)
 
 
-def test_binomial_tail_is_exact(spark):
+def test_most_rejected_is_exact(spark):
+    from fractions import Fraction
     from math import comb
 
-    rows = [(k, n) for n in (1, 5, 40, 300) for k in (0, 1, 2, 3, 7) if k <= n]
-    got = spark.createDataFrame(rows, "k long, n long").select("k", "n", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.03).alias("p")).collect()
-    for r in got:
-        exact = sum(comb(r["n"], i) * 0.03**i * 0.97 ** (r["n"] - i) for i in range(r["k"] + 1))
-        assert r["p"] == (pytest.approx(exact, rel=1e-9) if r["k"] < 0.03 * r["n"] else 1.0)
+    rows = [(n, p, level) for n in (0, 1, 40, 59, 80, 300, 1000) for p in (0.03, 0.05) for level in (0.0025, 0.05)]
+    for n, p, level in rows:
+        got = spark.range(1).select(quality_rules.most_rejected(F.lit(n), p, level).alias("k")).first()["k"]
+        q, total, k = Fraction(p), Fraction(0), -1
+        while (total := total + comb(n, k + 1) * q ** (k + 1) * (1 - q) ** (n - k - 1)) <= level:
+            k += 1
+        assert got == k
+
+
+def test_cutoffs_equal_brute_force(spark):
+    r = np.random.default_rng(3)
+    rows = [(int(s), int(x), int(g)) for s, n in ((0, 30), (1, 400), (2, 1500)) for x, g in zip(r.integers(0, 900, n), r.random(n) < 0.8, strict=True)]
+    got = {x["stratum"]: (x["n"], x["cutoff"]) for x in quality_rules.cutoffs(spark.createDataFrame(rows, "stratum int, score long, good long").repartition(3), 0.05, 0.06).collect()}
+    expected = {}
+    for s in range(3):
+        good, bad = ([x for t, x, g in rows if t == s and g == want] for want in (1, 0))
+        k = spark.range(1).select(quality_rules.most_rejected(F.lit(len(good)), 0.05, 0.02).alias("k")).first()["k"]
+        fine = [c for c in set(good + bad) if sum(x > c for x in good) <= k]
+        if fine:
+            c = min(fine)
+            expected[s] = (len(good), min((x for x in bad if x > c), default=c + 1) - 1)
+    assert got == expected and set(got) == {1, 2}
 
 
 def test_cutoffs_are_certified_and_reject_junk(spark):
-    good = [(k, " ".join(f"w{k}x{j}" for j in range(60)), 1) for k in range(1500)]
+    good = [(k, " ".join(f"w{k}x{j}" for j in range(60)), 1) for k in range(400)]
     junk = [(10_000 + k, " ".join(f"w{k}x{j} $$$$" for j in range(60)), 0) for k in range(50)]
     t = spark.createDataFrame(good + junk, "doc_id long, text string, quality int").repartition(4)
     rows = {r["id"]: r for r in quality_rules.judge(t.select("doc_id", "text"), t.select("doc_id", "quality")).collect()}
-    assert all(rows[k]["kept"] for k in range(1500)) and not any(rows[10_000 + k]["kept"] for k in range(50))
-    assert "symbols" in rows[10_000]["failed"]
+    assert all(rows[k]["kept"] for k in range(400)) and not any(rows[10_000 + k]["kept"] for k in range(50))
+    assert rows[10_000]["failed"] == ["symbols"]
     few = {r["id"]: r for r in quality_rules.judge(t.select("doc_id", "text"), t.where("doc_id < 20").select("doc_id", "quality")).collect()}
     assert all(r["kept"] for r in few.values())  # twenty documents certify nothing
+    copies = t.where("doc_id = 1").select(F.explode(F.sequence(F.lit(1), F.lit(500))).alias("doc_id"), "text").unionByName(t.where("doc_id >= 10000").select("doc_id", "text"))
+    again = quality_rules.judge(copies, copies.select("doc_id", (F.col("doc_id") < 10_000).cast("int").alias("quality")))
+    assert again.where("not kept").isEmpty()  # nor does one text five hundred times
 
 
-def test_quality_rules_query_equals_sql(spark, sf):
+def test_the_verdict_keeps_its_bound(spark):
+    """Drawn many times from known scores, more than alpha of all good documents are over the cutoff at most delta of the time."""
+    r, broken, runs = np.random.default_rng(5), 0, 12
+    for _ in range(runs):
+        rows = [(s, int(x), 1) for s in range(3) for x in r.integers(0, 1000, 300)]
+        broken += any(x["cutoff"] is not None and (999 - x["cutoff"]) / 1000 > 0.05 for x in quality_rules.cutoffs(spark.createDataFrame(rows, "stratum int, score long, good long"), 0.05, 0.05).collect())
+    assert broken <= 3
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_quality_rules_query_equals_sql(spark, sf, scale):
+    sf = sf.replace("sf0.001", scale)
     got = op9_quality_rules(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
     con = duckdb.connect()
     for name in ("documents", "labels"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
     expected = con.sql(ORACLE_SQL["op9_quality_rules"]).df().sort_values("doc_id").reset_index(drop=True)
     assert (got[sorted(got)].astype(str) == expected[sorted(expected)].astype(str)).all().all()
+    labels = con.sql("SELECT doc_id, quality FROM labels WHERE quality IN (0, 1)").df()
+    judged = got[~got.base_failed].merge(labels, on="doc_id")
+    assert (~judged[judged.quality == 0].kept).mean() > 0.8 and judged[judged.quality == 1].kept.mean() > 0.95
 
 
 def test_quality_rules_odd_rows(odd, empty):
