@@ -14,7 +14,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is no markup.
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")}
 #: Whatever is in them is never shown as text.
-HIDDEN = frozenset("script style textarea title noscript iframe xmp noembed noframes head template svg math select object canvas audio video datalist".split())
+HIDDEN = frozenset("script style textarea title noscript iframe xmp noembed noframes head template svg select object canvas audio video datalist annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )

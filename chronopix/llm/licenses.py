@@ -239,7 +239,7 @@ parity-7.0      parity      parity public license(?: (?:v ?|version )?7(?: 0)?)?
 polyform-noncommercial-1.0      polyform    polyform noncommercial license(?: (?:v ?|version )?1 0 0)?
 openrail-m      openrail    (?:creativeml |bigscience )?openrail m?
 # names without version
-mit             mit         (?:the )?mit (?:\\(expat\\) )?licen[cs]e
+mit             mit         (?:the )?mit (?:expat )?licen[cs]e
 mit             mit         (?:under|licensed|license|licence) (?:the )?mit
 mit             expat       expat licen[cs]e
 x11             x11         x11 licen[cs]e
@@ -385,9 +385,14 @@ class Scanner:
             i = bisect(kept, (start, end, k))
             if (i == 0 or kept[i - 1][1] <= start) and (i == len(kept) or end <= kept[i][0]):
                 kept.insert(i, (start, end, k))
-        at = lambda p: line.count(" ", 0, p) - 1
-        detections = [(at(a), line.count(" ", a, b) + 1, self.rules[k].label, self.rules[k].section) for a, b, k in kept]
-        return Scan(len(words), [(at(p), label) for p, label in base], detections)
+        # places in words, by counting spaces once from left to right
+        spots = sorted({p for p, _ in base} | {a for a, _, _ in kept})
+        word, before, n = {}, 0, -1
+        for p in spots:
+            n += line.count(" ", before, p)
+            before, word[p] = p, n
+        detections = [(word[a], line.count(" ", a, b) + 1, self.rules[k].label, self.rules[k].section) for a, b, k in kept]
+        return Scan(len(words), [(word[p], label) for p, label in base], detections)
 
 
 def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -13,7 +13,8 @@ the chain was not fitted on.  Fitted on a bounded, documented sample.
 Defined results: null, empty and blank texts have one empty line and a score;
 very long texts and lines are read whole; repeated rows and other columns make
 no difference; without labelled rows (or with one label only) every score is the
-share of good labels, or 0.5 if there are none.
+share of good labels, or 0.5 if there are none; with too few labelled rows to
+set some of both kinds apart, fit and calibration share them.
 """
 
 from __future__ import annotations
@@ -168,16 +169,30 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+#: Lines that a training batch holds at most, padding included; longer documents are fitted in parts of ``_PART`` lines.
+_CELLS, _PART = 1 << 16, 1 << 10
+
+
+def _batches(docs: list[np.ndarray], states: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chains of like length together, padded to the longest: features, states, where a line is."""
+    parts = [(x[at : at + _PART], y[at : at + _PART]) for x, y in zip(docs, states, strict=True) for at in range(0, len(x), _PART)]
+    parts.sort(key=lambda p: len(p[0]))
+    out, at = [], 0
+    while at < len(parts):
+        end = at + 1
+        while end < len(parts) and end - at < 128 and (end - at + 1) * len(parts[end][0]) <= _CELLS:
+            end += 1
+        t = len(parts[end - 1][0])
+        x, y, keep = np.zeros((end - at, t, WIDTH)), np.zeros((end - at, t)), np.zeros((end - at, t))
+        for r, (a, b) in enumerate(parts[at:end]):
+            x[r, : len(a)], y[r, : len(a)], keep[r, : len(a)] = a, b, 1
+        out.append((x, y, keep))
+        at = end
+    return out
+
+
 def _fit_chain(docs: list[np.ndarray], states: list[np.ndarray], weights: np.ndarray, trans: np.ndarray, epochs: int, rate: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
-    batches = []
-    for at in range(0, len(order), 128):
-        rows = order[at : at + 128]
-        t = max(len(docs[i]) for i in rows)
-        x, y, keep = np.zeros((len(rows), t, WIDTH)), np.zeros((len(rows), t)), np.zeros((len(rows), t))
-        for r, i in enumerate(rows):
-            x[r, : len(docs[i])], y[r, : len(docs[i])], keep[r, : len(docs[i])] = docs[i], states[i], 1
-        batches.append((x, y, keep))
+    batches = _batches(docs, states)
     m = [np.zeros(WIDTH), np.zeros(WIDTH), np.zeros((2, 2)), np.zeros((2, 2))]
     rng, step = np.random.default_rng(11), 0
     for epoch in range(epochs):
@@ -210,6 +225,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 25, rate: float = 0
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     held, rows = order[: len(order) // 4], order[len(order) // 4 :]
+    if len({labels[i] for i in rows}) < 2 or len({labels[i] for i in held}) < 2:
+        held = rows = order  # too few to set some apart for the calibration
     docs = [with_neighbours(line_features(texts[i])[0]) for i in rows]
     states = [np.full(len(x), labels[i], float) for x, i in zip(docs, rows, strict=True)]
     weights, trans = _fit_chain(docs, states, np.zeros(WIDTH), np.array([[0.5, -0.5], [-0.5, 0.5]]), epochs, rate, ridge)

@@ -77,8 +77,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
-    return got.withColumnRenamed("id", "page_id").drop("record")
+    return warc.page_derivatives(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

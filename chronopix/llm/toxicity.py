@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon.
 
-A text is folded (lower case; look-alike letters of other scripts and digits
-that stand for letters become that letter; i, l and 1 are one class; zero-width
-characters go; whatever is no letter becomes one space), then an Aho-Corasick
-automaton finds every lexicon term and exception phrase in one pass.  Terms are
+A text is folded (accents and the styled letters of mathematics, circles or full
+width become the plain letter by Unicode's compatibility decomposition; lower
+case; look-alike letters of other scripts and digits that stand for letters become
+that letter; i, l and 1 are one class; zero-width characters go; whatever is no
+letter becomes one space), then an Aho-Corasick automaton finds every lexicon term and exception phrase in one pass.  Terms are
 whole words or word beginnings.  A match inside an exception phrase does not
 count.  The weights that are left are summed; the sum, its share of the text's
 length and the number of matches go through a logistic calibration.
@@ -13,7 +14,9 @@ set labelled toxic texts apart (greedy cover: each new term must cover toxic
 texts that no earlier one covers; it counts if a mention of it, or a repeated
 one, is rare in other texts), learns the weights as smoothed log odds of a
 mention and fits the calibration; all on a bounded, documented sample of
-labelled rows.
+labelled rows.  How rare and how frequent a term must be, and whether repeated
+mentions count, is one of a few settings, chosen by cross-validation inside that
+sample.
 
 Defined results: null, empty and letterless texts have no match and get the
 score of no match; very long texts are read whole; repeated rows and other
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -46,15 +50,22 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 #: Lengths of the word beginnings that may become terms.
 PREFIXES = (4, 5, 6)
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+#: (texts that a term must newly cover, log odds of a mention, whether repeated mentions may make a term)
+SETTINGS = ((4, 2.5, True), (4, 2.5, False), (3, 2.0, True), (8, 3.0, False))
+#: Rows that choose the setting at most, in so many parts.
+CHOOSING_ROWS, CHOOSING_PARTS = 1500, 3
 
-_TABLE = {ord(x): k for k, xs in LOOKALIKES.items() for x in xs.lower()} | {ord(k): v for k, v in DIGITS.items()} | dict.fromkeys(map(ord, INVISIBLE))
+_TABLE = {ord(x): k for k, xs in LOOKALIKES.items() for x in xs.lower()} | {ord(k): v for k, v in DIGITS.items()} | dict.fromkeys([*map(ord, INVISIBLE), *range(0x300, 0x370)])
 _TABLE = {k: "i" if v == "l" else v for k, v in _TABLE.items()} | {ord("l"): "i"}
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 def fold(text: str | None) -> str:
     """Folded words, one space around each; '' if there is none."""
-    words = _NO_LETTER.sub(" ", (text or "").lower().translate(_TABLE)).strip()
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    words = _NO_LETTER.sub(" ", text.lower().translate(_TABLE)).strip()
     return f" {words} " if words else ""
 
 
@@ -95,17 +106,21 @@ class ToxicityModel:
             best = {s: v for s, v in best.items() if not any(a <= s and v[0] <= b for a, b in spans)}
         return [(s, e, w) for s, (e, w) in sorted(best.items())]
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
+    def features(self, folded: str) -> tuple[float, float, float]:
         """Logs of the summed weights, of their sum per hundred words and of the number of matches."""
-        folded = fold(text)
         found = [w for _, _, w in self.matches(folded)] if folded else []
         total = sum(found)
         n = folded.count(" ") - 1
         return math.log1p(total), math.log1p(100 * total / (n + 10)) if total else 0.0, math.log1p(len(found))
 
+    def judge(self, text: str | None) -> tuple[float, int]:
+        """(score, number of matches), in one pass."""
+        x = self.features(fold(text))
+        z = sum(w * v for w, v in zip(self.calibration, (1.0, *x), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), round(math.expm1(x[2]))
+
     def score(self, text: str | None) -> float:
-        x = sum(w * v for w, v in zip(self.calibration, (1.0, *self.features(text)), strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+        return self.judge(text)[0]
 
 
 def _candidates(words: list[str]) -> Counter[str]:
@@ -120,10 +135,9 @@ def _candidates(words: list[str]) -> Counter[str]:
     return out
 
 
-def train(texts: list[str], toxic: list[int], least_cover: int = 4, most_terms: int = 400, seed: int = 5) -> ToxicityModel:
-    """Fit lexicon, weights and calibration."""
-    rows = list(dict(zip(texts, toxic, strict=True)).items())  # copies of a text teach once
-    docs = [(_candidates(fold(t).split()), y) for t, y in rows]
+def _lexicon(docs: list[tuple[Counter[str], int]], setting: tuple[int, float, bool], most_terms: int) -> dict[str, float]:
+    """Terms and weights from texts' candidates with their labels."""
+    least_cover, least_odds, repeats = setting
     bad = [c for c, y in docs if y]
     support = Counter(c for x in bad for c in x)
     support = {c: n for c, n in support.items() if n >= least_cover}
@@ -136,8 +150,9 @@ def train(texts: list[str], toxic: list[int], least_cover: int = 4, most_terms:
             clean_again.update(c for c, n in found.items() if n > 1 and c in support)
     log_odds = lambda a, b: math.log((a + 0.5) / (len(bad) + 1)) - math.log((b + 0.5) / (n_clean + 1))
     odds = lambda c: log_odds(support.get(c, 0), clean[c])
+    twice = lambda c: repeats and again[c] >= least_cover and odds(c) > 1 and log_odds(again[c], clean_again[c]) > least_odds
     terms = {f" {fold(w).strip()} ": 2.0 for w in SEEDS}
-    good = {c: odds(c) for c in support if odds(c) > 2.5 or again[c] >= least_cover and odds(c) > 1 and log_odds(again[c], clean_again[c]) > 2.5}
+    good = {c: odds(c) for c in support if odds(c) > least_odds or twice(c)}
     members: dict[str, set[int]] = {c: set() for c in good}
     for k, x in enumerate(bad):
         for c in x:
@@ -165,10 +180,15 @@ def train(texts: list[str], toxic: list[int], least_cover: int = 4, most_terms:
         terms[c] = good[c]
         open_ -= members[c]
         del heap[c]
-    model = ToxicityModel(terms)
-    if bad and n_clean:
-        x = np.array([(1.0, *model.features(t)) for t, _ in rows])
-        y = np.array([v for _, v in rows], float)
+    return terms
+
+
+def _fitted(folded: list[str], docs: list[tuple[Counter[str], int]], setting: tuple[int, float, bool], most_terms: int) -> ToxicityModel:
+    """A lexicon with its calibration."""
+    model = ToxicityModel(_lexicon(docs, setting, most_terms))
+    y = np.array([v for _, v in docs], float)
+    if 0 < y.sum() < len(y):
+        x = np.array([(1.0, *model.features(t)) for t in folded])
         w = np.zeros(x.shape[1])
         for _ in range(50):  # Newton steps of a ridge logistic regression
             p = 1 / (1 + np.exp(-x @ w))
@@ -178,6 +198,25 @@ def train(texts: list[str], toxic: list[int], least_cover: int = 4, most_terms:
     return model
 
 
+def train(texts: list[str], toxic: list[int], most_terms: int = 400, seed: int = 5) -> ToxicityModel:
+    """Fit lexicon, weights and calibration, with the setting of the least cross-validated log loss."""
+    rows = list(dict(zip(texts, toxic, strict=True)).items())  # copies of a text teach once
+    folded = [fold(t) for t, _ in rows]
+    docs = [(_candidates(f.split()), y) for f, (_, y) in zip(folded, rows, strict=True)]
+    setting = SETTINGS[0]
+    order = np.random.default_rng(seed).permutation(len(rows))[:CHOOSING_ROWS]
+    if min(sum(docs[i][1] for i in order), sum(1 - docs[i][1] for i in order)) >= 10 * CHOOSING_PARTS:
+        loss = dict.fromkeys(SETTINGS, 0.0)
+        for part in range(CHOOSING_PARTS):
+            own, held = [i for k, i in enumerate(order) if k % CHOOSING_PARTS != part], order[part::CHOOSING_PARTS]
+            for s in SETTINGS:
+                model = _fitted([folded[i] for i in own], [docs[i] for i in own], s, most_terms)
+                x = np.array([(1.0, *model.features(folded[i])) for i in held]) @ np.array(model.calibration)
+                loss[s] += float(np.logaddexp(0, np.where([docs[i][1] for i in held], -x, x)).sum())
+        setting = min(SETTINGS, key=loss.get)
+    return _fitted(folded, docs, setting, most_terms)
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: int = 4000) -> ToxicityModel:
     """Train on about ``most`` labelled documents, chosen by a hash of the id."""
     return train(*labelled_texts(documents, labels, id_column, text_column, label_column, most))
@@ -188,7 +227,8 @@ def score(documents: DataFrame, model: ToxicityModel, id_column: str = "doc_id",
 
     def make():
         def fn(ids, texts):
-            return [ids, [model.score(t) for t in texts], [len(model.matches(fold(t))) for t in texts]]
+            got = [model.judge(t) for t in texts]
+            return [ids, [g[0] for g in got], [g[1] for g in got]]
 
         return fn
 

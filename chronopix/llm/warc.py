@@ -30,11 +30,13 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopix.llm.common import map_batches
 from chronopix.llm.dom import clean, parse
+from chronopix.shipping import ship_package
 
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
@@ -120,12 +122,34 @@ def _inflate(data: bytes, bits: int) -> tuple[bytes, bytes | None, bool]:
     return b"".join(out), None, False
 
 
+_CHUNK = 1 << 16
+
+
 def _members(data: bytes) -> Iterator[bytes]:
-    """The gzip members; after a broken one, or bytes between two, from the next header on."""
-    while (at := data.find(b"\x1f\x8b\x08")) >= 0:
-        out, rest, _ = _inflate(data[at:], 31)
-        yield out
-        data = data[at + 3 :] if rest is None else rest
+    """The gzip members; after a broken one, or bytes between two, from the next header on.
+
+    Read in chunks, so that a member costs its own length and not that of all that follows.
+    """
+    view, at = memoryview(data), 0
+    while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+        d, out, here = zlib.decompressobj(31), [], at
+        try:
+            while not d.eof and here < len(data):
+                out.append(d.decompress(view[here : here + _CHUNK]))
+                here += _CHUNK
+            out.append(d.flush())
+        except zlib.error:
+            # the bad chunk again by single bytes, so that all that comes before the error is kept
+            d, out = zlib.decompressobj(31), []
+            if here > at:
+                out.append(d.decompress(view[at:here]))
+            try:
+                for k in range(here, min(here + _CHUNK, len(data))):
+                    out.append(d.decompress(view[k : k + 1]))
+            except zlib.error:
+                pass
+        yield b"".join(out)
+        at = min(here, len(data)) - len(d.unused_data) if d.eof and not d.unconsumed_tail else at + 3
 
 
 @dataclass
@@ -236,35 +260,58 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(id, record): the records of .warc and .warc.gz files, id being file name and place.
 
     One file is one task's row, as the format has no split points; files of the
-    usual gigabyte at most are meant.
+    usual gigabyte are meant, and Spark's reader takes none over 2 GB.  Its records
+    come out in batches of some 16 MB.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = pa.schema([("id", pa.string()), ("record", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*batch.columns, strict=True):
+                ids, raw, size = [], [], 0
+                for k, r in enumerate(records(content.as_py() or b"")):
+                    ids.append(f"{name.as_py()}#{k}")
+                    raw.append(r.bytes())
+                    size += len(raw[-1])
+                    if size >= 16 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(raw, pa.binary())], schema=schema)
+                        ids, raw, size = [], [], 0
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(raw, pa.binary())], schema=schema)
+
+    return files.mapInArrow(run, "id string, record binary")
+
+
+def _rows(key: object, source: Record) -> list[tuple]:
+    got = derive(source)
+    if not got:
+        return []
+    claimed = source.get("WARC-Payload-Digest")
+    return [(key, x.get("WARC-Type"), x.get("WARC-Record-ID"), x.get("WARC-Refers-To"), x.get("WARC-Target-URI"), x.get("WARC-Date"), x.get("WARC-Block-Digest"), claimed, got[2], len(x.block), x.block.decode("utf-8", "replace"), x.bytes()) for x in got[:2]]
 
+
+def _derived(source: DataFrame, read, columns: list[str]) -> DataFrame:
     def make():
-        def fn(paths, contents):
-            rows = [(f"{p}#{k}", r.bytes()) for p, data in zip(paths, contents, strict=True) for k, r in enumerate(records(data or b""))]
-            return [list(c) for c in zip(*rows, strict=True)] if rows else [[], []]
+        def fn(*lists):
+            rows = [row for given in zip(*lists, strict=True) for r in read(*given) for row in _rows(given[0], r)]
+            return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(12)]
 
         return fn
 
-    return map_batches(files, make, ["path", "content"], "id string, record binary", 1)
+    kind = dict(source.dtypes)["id"]
+    schema = f"id {kind}, type string, record_id string, refers_to string, target_uri string, date string, block_digest string, source_digest string, digest_ok boolean, content_length long, block string, record binary"
+    return map_batches(source, make, columns, schema, 128)
 
 
 def derivatives(source: DataFrame, id_column: str = "id", record_column: str = "record") -> DataFrame:
-    """Two rows for every response: id, type, record_id, refers_to, target_uri, date, block_digest, source_digest, digest_ok, content_length, record (bytes)."""
+    """Two rows for every response: id, type, record_id, refers_to, target_uri, date, block_digest, source_digest, digest_ok, content_length, block (its text), record (all its bytes)."""
+    rows = source.select(F.col(id_column).alias("id"), F.col(record_column).alias("record"))
+    return _derived(rows, lambda key, data: records(data or b""), ["id", "record"])
 
-    def make():
-        def fn(ids, raw):
-            rows = []
-            for key, data in zip(ids, raw, strict=True):
-                for r in records(data or b""):
-                    if got := derive(r):
-                        claimed = r.get("WARC-Payload-Digest")
-                        rows += [(key, x.get("WARC-Type"), x.get("WARC-Record-ID"), x.get("WARC-Refers-To"), x.get("WARC-Target-URI"), x.get("WARC-Date"), x.get("WARC-Block-Digest"), claimed, got[2], len(x.block), x.bytes()) for x in got[:2]]
-            return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(11)]
 
-        return fn
-
-    kind = dict(source.dtypes)[id_column]
-    schema = f"id {kind}, type string, record_id string, refers_to string, target_uri string, date string, block_digest string, source_digest string, digest_ok boolean, content_length long, record binary"
-    return map_batches(source.select(F.col(id_column).alias("id"), F.col(record_column).alias("record")), make, ["id", "record"], schema, 128)
+def page_derivatives(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """The derivatives of every page's response, as from ``derivatives(responses(pages))``, in one pass."""
+    rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
+    return _derived(rows, lambda key, url, source: [page_response(key, url, source)], ["id", "url", "html"])

@@ -231,6 +231,19 @@ def test_license_spellings_without_the_name(text, label):
     assert {d[2] for d in licenses.Scanner().scan(text).detections} == {label}
 
 
+def test_license_places_in_linear_time():
+    import time
+
+    start = time.perf_counter()
+    got = licenses.Scanner().scan("cc by the mit license " * 40_000)
+    assert [w for w, _ in got.base[:3]] == [0, 5, 10] and got.base[-1][0] == 199_995 and time.perf_counter() - start < 8
+    assert [d[:3] for d in got.detections[:2]] == [(0, 2, "cc-by"), (2, 3, "mit")]
+
+
+def test_expat_in_brackets_is_mit():
+    assert {d[2] for d in licenses.Scanner().scan("The MIT (Expat) License").detections} == {"mit"}
+
+
 def test_license_odd_rows(odd, empty, odd_rows):
     rows = licenses.scan(odd).collect()
     assert len(rows) == 13 and {r["id"]: r["n_words"] for r in rows}[1] == 0
@@ -374,6 +387,11 @@ def test_html_query_gives_the_articles(spark, sf):
         assert r["text"] == "\n\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
 
 
+def test_formulas_stay_in_the_text():
+    texts = [dom.clean(x.text) for x in dom.parse("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p>") if x.text]
+    assert " ".join(texts).replace(" ", "") == "Letx=2be."
+
+
 def test_html_odd_rows(odd, empty):
     assert html_extract.extract(odd, "doc_id", "text").count() == 13
     assert html_extract.extract(empty, "doc_id", "text").count() == 0
@@ -437,6 +455,73 @@ def test_warc_query_links_and_digests(spark, sf):
         assert {r["type"] for r in own} == {"metadata", "conversion"} and all(r["refers_to"] == source.get("WARC-Record-ID") and r["digest_ok"] for r in own)
 
 
+def test_warc_query_equals_an_own_derivation(spark, sf):
+    """Text, digests and links of the records, by other means."""
+    import base64
+    import hashlib
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.words, self.off, self.raw, self.links, self.title, self.in_title = [], 0, 0, [], "", False
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "title", "textarea", "noscript", "select", "svg", "iframe", "template")
+            self.in_title = tag == "title"
+            if tag in ("a", "area", "link", "img", "script", "iframe", "form"):
+                self.links += [v for k, v in attrs if k in ("href", "src", "action") and v is not None][:1]
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "title", "textarea", "noscript", "select", "svg", "iframe", "template")
+            self.in_title = False
+
+        def handle_data(self, data):
+            if self.in_title:
+                self.title += data
+            elif not self.off:
+                self.words += data.split()
+
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    rows = {(r["page_id"], r["type"]): r for r in op10_warc(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    same = 0
+    for p in pages:
+        payload = (p["html"] or "").encode()
+        for kind in ("metadata", "conversion"):
+            r = rows[p["page_id"], kind]
+            head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            assert block == r["block"].encode() + b"\r\n\r\n" and int(fields["Content-Length"]) == len(r["block"].encode()) == r["content_length"]
+            assert fields["WARC-Block-Digest"] == sha1(r["block"].encode()) == r["block_digest"] and r["source_digest"] == sha1(payload)
+            assert fields["WARC-Type"] == kind and fields["WARC-Refers-To"] == r["refers_to"] != fields["WARC-Record-ID"] and fields["WARC-Target-URI"] == p["url"]
+        own = Text()
+        own.feed(p["html"] or "")
+        own.close()
+        assert sorted(rows[p["page_id"], "conversion"]["block"].replace(" ", "").replace("\n", "")) == sorted("".join(own.words)) or "<br" in p["html"]
+        same += rows[p["page_id"], "conversion"]["block"].split() == own.words
+        meta = rows[p["page_id"], "metadata"]["block"].split("\r\n")
+        assert f"title: {' '.join(own.title.split())}" in meta or not own.title
+        assert [x.split(" ")[1] for x in meta if x.startswith("outlink: ")] == own.links
+    assert same >= 0.5 * len(pages)
+
+
+def test_members_are_read_in_linear_time():
+    import gzip
+    import time
+
+    one = gzip.compress(warc.page_response(1, "http://x/1", "<p>page</p>" + "x y " * 300).bytes())
+    start = time.perf_counter()
+    assert sum(1 for _ in warc.records(one * 40_000)) == 40_000
+    assert time.perf_counter() - start < 20
+
+
+def test_one_pass_gives_what_two_give(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(30)
+    two = warc.derivatives(warc.responses(pages))
+    assert sorted(map(str, warc.page_derivatives(pages).collect())) == sorted(map(str, two.collect()))
+
+
 def test_warc_odd_rows(odd, empty):
     assert warc.derivatives(warc.responses(odd, "doc_id", "source", "text")).count() == 26
     assert warc.derivatives(warc.responses(empty, "doc_id", "source", "text")).count() == 0
