@@ -82,14 +82,15 @@ def only(documents: DataFrame, keys: DataFrame, id_column: str, text_column: str
     return _by_key(documents, keys, id_column, text_column, "left_semi")
 
 
-def bounded_rows(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+def bounded_rows(df: DataFrame, columns: list[str], most: int, counted: DataFrame | None = None) -> DataFrame:
     """About ``most`` rows of ``df`` chosen by a hash of ``columns`` (all, if there are fewer), each different row once.
 
     Only for fitting classifiers: a count, a filter, and a distinct over what is
     left, so rows that repeat do not add up.  No sort and no skew.  The choice
-    depends on the values alone, so a rerun fits the same model.
+    depends on the values alone, so a rerun fits the same model.  ``counted`` has
+    as many rows or some more, and can be counted without reading texts.
     """
-    n = df.count()
+    n = (df if counted is None else counted).count()
     if n > most:
         df = df.where(F.pmod(F.xxhash64(F.lit(7), *columns), F.lit(1_000_000)) < int(1_000_000 * most / n))
     return df.distinct()

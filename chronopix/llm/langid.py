@@ -174,7 +174,7 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 6
 def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", most: int = 4000) -> LanguageModel:
     """Train on about ``most`` rows (chosen by a hash of the id) with a text and a language."""
     usable = documents.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.col(lang_column).alias("_lang"))
-    rows = bounded_rows(usable.where("_text is not null"), ["_id", "_text"], most).collect()
+    rows = bounded_rows(usable.where("_text is not null"), ["_id", "_text"], most, usable).collect()
     rows.sort(key=lambda r: (r["_id"], r["_lang"], r["_text"]))
     return train([r["_text"] for r in rows], [r["_lang"] for r in rows])
 
