@@ -1,10 +1,14 @@
-"""Segmentation of one pixel's series: the stateful kernel behind ``operators.segmentation``.
+"""Segmentation of one pixel's series: the kernel behind ``operators.segmentation``.
 
-A window of observations grows until a stable model fits its test bands; then the
-following observations are watched, ``consecutive`` at a time.  If all of them lie
-far from the model in every look, a change is recorded and a new window begins
-after it; a single far observation is dropped as noise.  Models are refitted once
-more than ``retrain_time`` days have passed.
+A series is cut into segments in turns of two steps.  ``Ccdc.grow`` finds the next
+window of observations that a model describes well from its first to its last.
+``_Track`` follows the series from there: it looks at the next ``consecutive``
+observations again and again, until all of one look are far from the model (a
+change, which ends the segment) or the series ends.  A look of which only the
+first is far takes that one out as noise.
+
+The observations themselves are never copied: what screening and noise removal
+leave over is an array of their positions.
 """
 
 from __future__ import annotations
@@ -24,11 +28,23 @@ class Segment:
     start: int = 0
     end: int = 0
     change: int = 0  # ordinal of the change that ended it, 0 for none
-    coef: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # features x bands
+    coef: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # bands x features
     rmse: np.ndarray = field(default_factory=lambda: np.zeros(0))
     magnitude: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
+@dataclass
+class Observations:
+    """A pixel's whole series: design (observations x features), bands x observations, ordinals."""
+
+    x: np.ndarray
+    y: np.ndarray
+    dates: np.ndarray
+
+    def days(self, a: int, b: int) -> float:
+        return abs(float(self.dates[b]) - float(self.dates[a]))
+
+
 @dataclass
 class Ccdc:
     """Parameters of the segmentation; bands are counted from 0."""
@@ -60,164 +76,136 @@ class Ccdc:
 
     def fit(self, x: np.ndarray, y: np.ndarray, dates: np.ndarray) -> list[Segment]:
         """Segments of a series: x observations x features, y bands x observations, dates ordinals in order."""
-        x, y, dates = np.asarray(x, float), np.asarray(y, float), np.asarray(dates)
-        if not len(x) == y.shape[1] == len(dates):
+        o = Observations(np.asarray(x, float), np.asarray(y, float), np.asarray(dates))
+        if not len(o.x) == o.y.shape[1] == len(o.dates):
             raise ValueError("design, observations and dates differ in length")
-        if len(x) < self.min_obs + self.consecutive:
-            raise SeriesTooShort(f"{len(x)} observations")
-        return _Run(self, x, y, dates).go()
-
-
-class _Run:
-    """The state of one fit."""
-
-    def __init__(self, p: Ccdc, x: np.ndarray, y: np.ndarray, dates: np.ndarray):
-        self.p, self.x, self.y, self.dates = p, x, y, dates
-        n_band = len(y)
-        self.test = list(range(n_band)) if p.test_indices is None or len(p.test_indices) == 0 else list(p.test_indices)
-        low = np.finfo(float).tiny if p.min_rmse is None else p.min_rmse
-        self.low = np.broadcast_to(np.asarray(low, float), (n_band,))
-        self.start, self.here, self.watching, self.trained = 0, p.min_obs, False, 0
-        self.coef, self.rmse = np.zeros((n_band, x.shape[1])), np.zeros(n_band)
-        self.out: list[Segment] = []
-        self.open = self.new()
-        self.smoothed = False
-
-    def new(self) -> Segment:
-        return Segment(coef=np.zeros_like(self.coef), rmse=np.zeros(len(self.y)), magnitude=np.zeros(len(self.y)))
-
-    @property
-    def can_watch(self) -> bool:
-        return self.here < len(self.dates) - self.p.consecutive - 1
-
-    def days(self) -> float:
-        return abs(float(self.dates[self.here]) - float(self.dates[self.start]))
-
-    def regress(self, bands: list[int]) -> dict[int, object]:
-        """A model for each band on the rows from start to here."""
-        rows = slice(self.start, self.here + 1)
-        models = {}
-        for b in bands:
-            m = self.p.estimator.fresh().fit(self.x[rows], self.y[b, rows])
-            self.rmse[b] = rmse(self.y[b, rows], m.predict(self.x[rows]))
-            self.coef[b] = fold_intercept(m)
-            models[b] = m
-        return models
-
-    def go(self) -> list[Segment]:
-        p = self.p
-        while self.here < len(self.dates):
-            while not self.watching and self.can_watch:
-                self.train()
-                self.here += 1
-            if self.here - self.start > self.x.shape[1] and self.here < len(self.dates):
-                self.update()
-            while self.watching and self.can_watch:
-                self.update()
-                self.watch()
-                self.here += 1
-            self.here += 1
-        if self.watching:
-            last = max(self.start, min(self.here - p.consecutive - 2, len(self.dates) - 1))
-            self.open.start, self.open.end = int(self.dates[self.start]), int(self.dates[last])
-            self.open.coef, self.open.rmse = self.coef.copy(), self.rmse.copy()
-            self.out.append(self.open)
-        return self.out
-
-    def update(self) -> None:
-        if abs(float(self.dates[self.here]) - self.trained) > self.p.retrain_time:
-            self.regress(range(len(self.y)))
-            self.trained = float(self.dates[self.here])
-
-    def screen(self) -> bool:
-        """Take clouded and shadowed observations out of the window; False if too little is left."""
-        p = self.p
-        if p.screening == "LOWESS":
-            if not self.smoothed:
-                self.smoothed = True
-                keep = smooth_mask(self.dates, self.y, p.min_obs, p.screening_crit, p.green_band, p.swir1_band)
-                self.x, self.y, self.dates = self.x[keep], self.y[:, keep], self.dates[keep]
-            self.kept = self.x, self.y, self.dates
-            return self.here < len(self.dates) and self.here - self.start + 1 >= p.min_obs
-        window = slice(self.start, self.here + p.consecutive)
-        keep = multitemporal_mask(self.dates[window], self.y[:, window], self.days() / YEAR, p.screening_crit, p.green_band, p.swir1_band)
-        count = int(keep[: -p.consecutive].sum())
-        if count < p.min_obs:
-            return False
-        every = np.ones(len(self.dates), bool)
-        every[window] = keep
-        self.kept = self.x[every], self.y[:, every], self.dates[every]
-        before, self.here = self.here, self.start + count - 1
-        if self.days() < YEAR:
-            self.here = before
-            return False
-        return True
-
-    def train(self) -> None:
-        """Begin to watch if the screened window is stable; else move its start."""
-        p, before = self.p, self.here
-        if not self.days() > YEAR or self.here - self.start < self.x.shape[1]:
-            return
-        if not self.screen():
-            return
-        x, y, dates = self.kept
-        if self.here >= len(dates):
-            raise SeriesTooShort("too little is left after screening")
-        rows = slice(self.start, self.here + 1)
-        first, last, slope = [], [], []
-        for b in self.test:
-            m = p.estimator.fresh().fit(x[rows], y[b, rows])
-            fitted = m.predict(x[rows])
-            sigma = max(self.low[b], rmse(y[b, rows], fitted), EPS)
-            first.append(abs(y[b, self.start] - fitted[0]) / sigma)
-            last.append(abs(y[b, self.here] - fitted[-1]) / sigma)
-            if p.slope_test:
-                slope.append(abs(m.coef_[p.idx_slope] * (self.here - self.start)) / sigma)
-        far = max(np.linalg.norm(first), np.linalg.norm(last)) > p.threshold
-        if far or (p.slope_test and np.linalg.norm(slope) > p.slope_test):
-            self.start += 1
-            self.here = before
+        kept = np.arange(len(o.dates))
+        if self.screening == "LOWESS" and len(kept):  # sees the whole series, so once is enough
+            kept = kept[smooth_mask(o.dates, o.y, self.min_obs, self.screening_crit, self.green_band, self.swir1_band)]
+        if len(kept) < self.min_obs + self.consecutive:
+            raise SeriesTooShort(f"{len(kept)} observations")
+        out, first, last = [], 0, self.min_obs
+        while window := self.grow(o, kept, first, last):
+            track = _Track(self, o, *window)
+            at = track.follow()
+            out.append(track.segment(at))
+            if at is None:
+                break
+            # a window needs an observation on either side of its first
+            kept, first, last = track.kept, at + 1, at + 2
+        return out
+
+    def bands(self, o: Observations) -> list[int]:
+        return list(self.test_indices) if self.test_indices else list(range(len(o.y)))
+
+    def floors(self, o: Observations) -> np.ndarray:
+        """The least scale of residuals of each band."""
+        low = np.finfo(float).tiny if self.min_rmse is None else self.min_rmse
+        return np.maximum(np.broadcast_to(np.asarray(low, float), (len(o.y),)), EPS)
+
+    def grow(self, o: Observations, kept: np.ndarray, first: int, last: int) -> tuple[np.ndarray, int, int] | None:
+        """(kept, first, last) of the next stable window, screened; None if a whole look no longer fits behind one.
+
+        The window is over a year long and has more observations than features.
+        Its end moves on by one each time; its beginning does where it is unstable.
+        """
+        for last in range(last, len(kept) - self.consecutive - 1):
+            if o.days(kept[first], kept[last]) <= YEAR or last - first < o.x.shape[1]:
+                continue
+            screened = self.screen(o, kept, first, last)
+            if screened is None:
+                continue
+            if self.stable(o, screened[0][first : screened[1] + 1]):
+                return screened[0], first, screened[1]
+            first += 1
+        return None
+
+    def screen(self, o: Observations, kept: np.ndarray, first: int, last: int) -> tuple[np.ndarray, int] | None:
+        """(kept, last) without clouds and shadows in the window and the look behind it; None if too little is left."""
+        if self.screening == "LOWESS":
+            return (kept, last) if last - first + 1 >= self.min_obs else None
+        near = kept[first : last + self.consecutive]
+        clear = multitemporal_mask(o.dates[near], o.y[:, near], o.days(kept[first], kept[last]) / YEAR, self.screening_crit, self.green_band, self.swir1_band)
+        n = int(clear[: last - first].sum())
+        # the length in days is that of as many observations before the screening
+        if n < self.min_obs or o.days(kept[first], kept[first + n - 1]) < YEAR:
+            return None
+        return np.concatenate([kept[:first], near[clear], kept[last + self.consecutive :]]), first + n - 1
+
+    def stable(self, o: Observations, rows: np.ndarray) -> bool:
+        """Whether models of the test bands fit the first and the last observation, and do not slope if that is tested."""
+        low, off = self.floors(o), []
+        for b in self.bands(o):
+            model = self.estimator.fresh().fit(o.x[rows], o.y[b, rows])
+            residual = np.abs(o.y[b, rows] - model.predict(o.x[rows]))
+            slope = abs(model.coef_[self.idx_slope] * (len(rows) - 1)) if self.slope_test else 0.0
+            off.append(np.array([residual[0], residual[-1], slope]) / max(low[b], float(np.sqrt(np.mean(residual**2)))))
+        ends, slope = np.linalg.norm(off, axis=0)[:2].max(), np.linalg.norm(off, axis=0)[2]
+        return not (ends > self.threshold or (self.slope_test and slope > self.slope_test))
+
+
+class _Track:
+    """The series from a stable window on: models that are refitted now and then, and looks ahead."""
+
+    def __init__(self, p: Ccdc, o: Observations, kept: np.ndarray, first: int, last: int):
+        self.p, self.o, self.kept, self.first = p, o, kept, first
+        self.bands, self.low = p.bands(o), p.floors(o)
+        self.coef, self.rmse = np.zeros((len(o.y), o.x.shape[1])), np.zeros(len(o.y))
+        self.fitted = 0.0  # the date up to which the models have seen the series
+        self.far = np.zeros((p.consecutive, len(self.bands)))  # scores of the last look
+        self.refit(last + 1)
+        self.next = last + 1
+
+    def refit(self, last: int) -> None:
+        """Models of all bands on what lies between the first and ``last``, if the present ones are too old."""
+        date = float(self.o.dates[self.kept[last]])
+        if abs(date - self.fitted) <= self.p.retrain_time:
             return
-        self.x, self.y, self.dates = x, y, dates
-        self.watching = True
-
-    def sigma(self, b: int, model_y: np.ndarray) -> float:
-        """Residual scale of a band: the model's, or that of the observations nearest in the season."""
-        if not self.p.dynamic_rmse:
-            return self.rmse[b]
-        seen = slice(self.start, self.here)
-        at = self.dates[min(self.here + self.p.consecutive, len(self.dates) - 1)]
-        off = np.mod(self.dates[seen] - at, YEAR)
+        rows, self.fitted = self.kept[self.first : last + 1], date
+        for b in range(len(self.o.y)):
+            model = self.p.estimator.fresh().fit(self.o.x[rows], self.o.y[b, rows])
+            self.rmse[b] = rmse(self.o.y[b, rows], model.predict(self.o.x[rows]))
+            self.coef[b] = fold_intercept(model)
+
+    def follow(self) -> int | None:
+        """Looks ahead from observation to observation; the place where a change is, or None at the series' end."""
+        while self.next < len(self.kept) - self.p.consecutive - 1:
+            self.refit(self.next)
+            far = self.look() > self.p.threshold
+            if far.all():
+                return self.next
+            if far[0] and self.p.remove_noise:
+                self.kept = np.delete(self.kept, self.next)
+            else:
+                self.next += 1
+        # too few are left for another look, but the models still see them
+        for last in range(self.next + 1, len(self.kept)):
+            self.refit(last)
+        return None
+
+    def look(self) -> np.ndarray:
+        """How far each of the next observations is from the models, over all test bands."""
+        rows = self.kept[self.next : self.next + self.p.consecutive]
+        residual = self.o.y[np.ix_(self.bands, rows)] - self.coef[self.bands] @ self.o.x[rows].T
+        scale = np.array([self.seasonal_rmse(b) if self.p.dynamic_rmse else self.rmse[b] for b in self.bands])
+        self.far = (residual / np.maximum(self.low[self.bands], scale)[:, None]).T
+        return np.linalg.norm(self.far, axis=1)
+
+    def seasonal_rmse(self, b: int) -> float:
+        """The residual scale of the segment's observations that are nearest in the season to the end of the look."""
+        rows = self.kept[self.first : self.next]
+        end = self.o.dates[self.kept[min(self.next + self.p.consecutive, len(self.kept) - 1)]]
+        apart = np.mod(self.o.dates[rows] - end, YEAR)
         if self.p.circular_days:
-            off = np.minimum(off, YEAR - off)
-        near = np.argsort(off, kind="stable")[: self.p.min_obs]
-        return rmse(self.y[b, seen][near], model_y[near])
-
-    def watch(self) -> None:
-        p = self.p
-        ahead = slice(self.here, self.here + p.consecutive)
-        scores = np.empty((p.consecutive, len(self.test)))
-        for k, b in enumerate(self.test):
-            sigma = self.sigma(b, self.x[self.start : self.here] @ self.coef[b]) if p.dynamic_rmse else self.rmse[b]
-            scores[:, k] = (self.y[b, ahead] - self.x[ahead] @ self.coef[b]) / max(self.low[b], sigma, EPS)
-        size = np.sqrt((scores**2).sum(axis=1))
-        if (size > p.threshold).all():
-            s = self.open
-            s.start, s.end, s.change = int(self.dates[self.start]), int(self.dates[self.here]), int(self.dates[self.here + 1])
-            s.coef, s.rmse = self.coef.copy(), self.rmse.copy()
-            s.magnitude[self.test] = scores.mean(axis=0)
-            self.out.append(s)
-            self.open = self.new()
-            self.start, self.trained, self.watching = self.here + 1, 0, False
-        elif p.remove_noise and size[0] > p.threshold:
-            keep = np.arange(len(self.dates)) != self.here
-            self.x, self.y, self.dates = self.x[keep], self.y[:, keep], self.dates[keep]
-            self.here -= 1
-
-
-def series(values: np.ndarray, ordinals: np.ndarray, reverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Values (observations x bands) and ordinals in date order, or all reversed."""
-    order = np.argsort(ordinals, kind="stable")
-    if reverse:
-        order = order[::-1]
-    return np.asarray(values, float)[order], np.asarray(ordinals)[order]
+            apart = np.minimum(apart, YEAR - apart)
+        rows = rows[np.argsort(apart, kind="stable")[: self.p.min_obs]]
+        return rmse(self.o.y[b, rows], self.o.x[rows] @ self.coef[b])
+
+    def segment(self, at: int | None) -> Segment:
+        """Up to a change at ``at``; without one up to the last observation that began a whole look."""
+        date = lambda k: int(self.o.dates[self.kept[k]])
+        magnitude = np.zeros(len(self.o.y))
+        if at is None:
+            return Segment(date(self.first), date(max(self.first, len(self.kept) - self.p.consecutive - 2)), 0, self.coef, self.rmse, magnitude)
+        magnitude[self.bands] = self.far.mean(axis=0)
+        return Segment(date(self.first), date(at), date(at + 1), self.coef, self.rmse, magnitude)
