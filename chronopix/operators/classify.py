@@ -87,10 +87,29 @@ def classify(segments: DataFrame, model: RandomForestClassificationModel, slope:
     return scored.select(*base.columns, F.col("prediction").cast("int").alias("class"), vector_to_array("probability", "float32").alias("class_proba"))
 
 
+def ranked(df: DataFrame, order: list[str], stratum: str | None = None) -> DataFrame:
+    """Adds ``_rank``: each row's place, from 0, in the order, within its stratum if one is given.
+
+    Rows are dealt to ranges of the order and numbered within each; only the ranges'
+    counts are summed up, so no task sees all rows.
+    """
+    keys = [stratum] if stratum else []
+    scratch = Scratch(df.sparkSession, "ranked")
+    dealt = scratch.keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")  # written, so that ranges stay as they are
+    counts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(c).alias("_stratum") for c in keys), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    same = F.col("_range") == F.col("_at")
+    if stratum:
+        same &= F.col(stratum).eqNullSafe(F.col("_stratum"))
+    own = Window.partitionBy(*keys, "_range").orderBy(*order)
+    numbered = dealt.withColumn("_rank", F.row_number().over(own) - 1).join(starts, same)
+    return numbered.select(*df.columns, (F.col("_rank") + F.col("_from")).alias("_rank"))
+
+
 def kfold(df: DataFrame, k: int, order: list[str], stratify: str | None = None) -> DataFrame:
     """Adds ``fold``: rows dealt in order to k folds, within each stratum if given."""
-    w = Window.partitionBy(*([stratify] if stratify else [F.lit(0)])).orderBy(*order)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return ranked(df, order, stratify).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
 
 
 def components(labels: DataFrame) -> DataFrame:
@@ -119,7 +138,7 @@ def spatial_folds(labels: DataFrame, k: int, seed: int | None = None) -> DataFra
     found = components(labels)
     order = F.xxhash64(F.lit(seed), F.col("component")) if seed is not None else F.col("component")
     parts = found.select("component").distinct().withColumn("_o", order)
-    dealt = parts.withColumn("fold", ((F.row_number().over(Window.orderBy("_o", "component")) - 1) % k).cast("int")).drop("_o")
+    dealt = kfold(parts, k, ["_o", "component"]).drop("_o")
     return found.join(dealt, "component")
 
 

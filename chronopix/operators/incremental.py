@@ -19,13 +19,12 @@ def missing(images: DataFrame, cache: DataFrame, key: str = "image_id") -> DataF
 def update(cache: DataFrame, images: DataFrame, source: DataFrame, key: str = "image_id") -> DataFrame:
     """The cache for a new list of images: what is retained, and the source's rows of the new ones.
 
-    Raises ValueError if nothing is retained and nothing can be added.
+    Raises ValueError for an empty list, as nothing could be retained or added.
     """
-    new = source.join(missing(images, cache, key).select(key), key, "left_semi")
-    out = retained(cache, images, key).unionByName(new)
-    if out.isEmpty():
+    if images.isEmpty():  # the list is looked at, not the archive
         raise ValueError("neither a cached nor a new image is left")
-    return out
+    new = source.join(missing(images, cache, key).select(key), key, "left_semi")
+    return retained(cache, images, key).unionByName(new)
 
 
 def unfinished(work: DataFrame, done: DataFrame, keys: list[str] | str = "py") -> DataFrame:
@@ -40,11 +39,6 @@ def same_images(cache: DataFrame, images: DataFrame, key: str = "image_id") -> b
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def is_stale(made: float, source_changed: float) -> bool:
-    """Whether a file was made before its source changed."""
-    return made < source_changed
-
-
 def array_subset(inner, outer):
     """Whether every element of one array column is in another."""
     return F.size(F.array_except(inner, outer)) == 0

@@ -6,8 +6,6 @@ map-side combining, one left join with the output grid.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +40,11 @@ def at_date(segments: DataFrame, day: int, after: bool = False, before: bool = F
     return best.select(*PIXEL, *(F.col("best")[c].alias(c) for c in rest))
 
 
-def on_grid(values: DataFrame, grid: DataFrame, ndv: float | int, integer: bool = False) -> DataFrame:
-    """Values for every pixel of the grid; ``ndv`` where there are none (or null)."""
+def on_grid(values: DataFrame, grid: DataFrame, ndv: float | int, **other) -> DataFrame:
+    """Values for every pixel of the grid; ``ndv``, or that of the column among ``other``, where there are none (or null)."""
     joined = grid.select(*PIXEL).join(values, list(PIXEL), "left")
     kinds = dict(values.dtypes)
-    fill = lambda c: F.coalesce(F.col(c), F.lit(ndv).cast(kinds[c])).alias(c)
+    fill = lambda c: F.coalesce(F.col(c), F.lit(other.get(c, ndv)).cast(kinds[c])).alias(c)
     return joined.select(*PIXEL, *(fill(c) for c in values.columns if c not in PIXEL))
 
 
@@ -86,10 +84,9 @@ def coefficient_map(segments: DataFrame, grid: DataFrame, day: int, names: list[
                 out.append(value(i, b).alias(f"B{b + 1}_{name.replace(' ', '')}"))
     if with_rmse:
         out += [F.element_at(F.col(f"{prefix}rmse"), b + 1).alias(f"B{b + 1}_RMSE") for b in chosen_bands]
-    filled = on_grid(matrix.select(*PIXEL, *out), grid, ndv)
-    if not qa:
-        return filled
-    return filled.join(picked.select(*PIXEL, F.col("qa").alias("SegmentQAQC")), list(PIXEL), "left").fillna(0, ["SegmentQAQC"])
+    if qa:
+        out.append(F.col("qa").alias("SegmentQAQC"))
+    return on_grid(matrix.select(*PIXEL, *out), grid, ndv, SegmentQAQC=0)
 
 
 def prediction_map(segments: DataFrame, grid: DataFrame, day: int, formula: str, n_bands: int, bands="all", prefix: str = "", qa: bool = False, after: bool = False, before: bool = False, ndv: int = -9999, centre: int = 0) -> DataFrame:
@@ -137,7 +134,3 @@ def class_features(segments: DataFrame, slope: int | None = 1, centre: int = 0)
     shifted = segments.withColumns({"_s": F.col("start"), "_e": F.col("end"), "start": F.col("start") - centre, "end": F.col("end") - centre})
     out = shifted.withColumn("features", F.concat(F.flatten(recentred(F.col("coef"), slope)), F.col("rmse")))
     return out.withColumns({"start": F.col("_s"), "end": F.col("_e")}).drop("_s", "_e")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -53,6 +53,16 @@ def with_design(df: DataFrame, formula: str, name: str = "design", levels: dict[
     return df.withColumn(name, Design(formula, levels if levels is not None else category_levels(df, formula)).array())
 
 
+def by_pixel(obs: DataFrame, partitions: int | None = None, keys: tuple[str, ...] = PIXEL) -> DataFrame:
+    """Observations with each pixel's in one partition: composites and series of them need no further shuffle.
+
+    The work on series is heavy on CPU and light on bytes, so the number of
+    partitions is fixed; merging small ones would cost parallelism.
+    """
+    spark = obs.sparkSession
+    return obs.repartition(partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def pixel_series(obs: DataFrame, bands: list[str], extra: list[str] | None = None, reverse: bool = False, keys: tuple[str, ...] = PIXEL) -> DataFrame:
     """One row per pixel: its observations as an array of structs in date order (or reversed).
 

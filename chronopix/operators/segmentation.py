@@ -19,7 +19,7 @@ from chronopix.errors import SeriesTooShort, UnknownAlgorithm
 from chronopix.functions.ccdc import Ccdc, Segment
 from chronopix.functions.formula import Design, category_levels
 from chronopix.functions.kernels import estimator
-from chronopix.operators.prep import pixel_series
+from chronopix.operators.prep import by_pixel, pixel_series
 from chronopix.shipping import ship_package
 
 BASE_SCHEMA = "py int, px int, seg_id int, start int, end int, break int, coef array<array<float>>, rmse array<float>, magnitude array<float>"
@@ -118,15 +118,16 @@ def omission(x: np.ndarray, y: np.ndarray, dates: np.ndarray, segments: list[Seg
 
 def segment_pixels(
     obs: DataFrame, bands: list[str], formula: str, parameters: dict | None = None, name: str = "ccdc", reverse: bool = False, commission_alpha: float | None = None,
-    refits: list[dict] | None = None, centre: int = 0, partitions: int | None = None, levels: dict[str, list[str]] | None = None,
+    refits: list[dict] | None = None, centre: int = 0, partitions: int | None = None, levels: dict[str, list[str]] | None = None, dealt: bool = False, omission_crit: float | None = None,
 ) -> DataFrame:
     """Segments of every pixel of ``obs`` (py, px, ordinal, bands, and the formula's variables but x).
 
     ``refits``: dicts with prefix, model (a name) and keep_regularized.  Pixels with
     too short a series give no rows.  ``centre`` is taken from the ordinals before
     the design is computed, which keeps the numbers tame.  ``partitions`` spreads
-    the pixels over that many tasks: the work is heavy on CPU and light on bytes,
-    so merging small partitions would cost parallelism.
+    the pixels over that many tasks, unless ``dealt`` says that ``by_pixel`` has done so.
+    ``omission_crit`` adds ``omission``: whether a segment's residuals drift in any
+    test band, so that a change may have been overlooked.
     """
     spark = obs.sparkSession
     ship_package(spark)
@@ -140,9 +141,10 @@ def segment_pixels(
     for r in refits:
         r["model"] = estimator(r["model"]) if isinstance(r.get("model", "ols"), str) else r["model"]
     schema = BASE_SCHEMA + "".join(f", {r['prefix']}_coef array<array<float>>, {r['prefix']}_rmse array<float>" for r in refits)
-    rows = pixel_series(obs.select("py", "px", "ordinal", *extra, *bands), bands, extra)
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = rows.repartition(n, "py", "px").select("py", "px", *(F.col("series")[c].alias(c) for c in ("ordinal", *extra, *bands)))
+    if omission_crit is not None:
+        schema += ", omission boolean"
+    obs = obs.select("py", "px", "ordinal", *extra, *bands)
+    rows = pixel_series(obs if dealt else by_pixel(obs, partitions), bands, extra).select("py", "px", *(F.col("series")[c].alias(c) for c in ("ordinal", *extra, *bands)))
     columns = [f.strip().split(" ")[0] for f in schema.replace("array<array<float>>", "a").replace("array<float>", "a").split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,11 +165,12 @@ def segment_pixels(
                 if commission_alpha:
                     found = commission(x, y, dates, found, getattr(model, "test_indices", None), model.estimator, commission_alpha)
                 more = [refit(x, y, dates, found, r["model"], r.get("keep_regularized", True)) for r in refits]
+                drifts = omission(x, y, dates, found, omission_crit, "ANY", getattr(model, "test_indices", None)) if omission_crit is not None else None
                 for k, s in enumerate(found):
                     row = [p["py"], p["px"], k, s.start, s.end, s.change, s.coef.T.astype("f4").tolist(), s.rmse.astype("f4").tolist(), s.magnitude.astype("f4").tolist()]
                     for r in more:
                         row += [r[k][0].T.astype("f4").tolist(), r[k][1].astype("f4").tolist()]
-                    out.append(row)
+                    out.append(row if drifts is None else [*row, bool(drifts[k])])
             yield pd.DataFrame(out, columns=columns)
 
     return rows.mapInPandas(run, schema)
@@ -184,6 +187,23 @@ def observations_of_segments(obs: DataFrame, segments: DataFrame) -> DataFrame:
     return obs.join(bounds, ["py", "px"]).where(F.col("ordinal").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
+def drifting_segments(obs: DataFrame, segments: DataFrame, bands: list[str], crit: float = 0.05, behavior: str = "ANY", x: str = "x") -> DataFrame:
+    """py, px, seg_id, omission: whether the residuals of a line in x drift (CUSUM test) in any or all bands; native.
+
+    Bands become rows, so all of them share one pass over the observations.
+    """
+    from chronopix.operators.windows import cusum_test, line_residuals
+
+    if behavior.upper() not in ("ANY", "ALL"):
+        raise ValueError(f"behavior must be ANY or ALL, not {behavior!r}")
+    keys = ("py", "px", "seg_id", "band")
+    cells = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in bands)))
+    own = observations_of_segments(obs, segments).select("py", "px", "seg_id", "ordinal", F.col(x).alias("x"), cells.alias("c")).select("py", "px", "seg_id", "ordinal", "x", "c.band", "c.value")
+    tested = cusum_test(line_residuals(own, "value", "x", keys), "resid", keys).select(*keys, (F.col("p_value") < crit).alias("hit"))
+    how = F.bool_or if behavior.upper() == "ANY" else F.bool_and
+    return tested.groupBy("py", "px", "seg_id").agg(how("hit").alias("omission"))
+
+
 def chow_pairs(obs: DataFrame, segments: DataFrame, value: str, x: str = "x") -> DataFrame:
     """Chow F of each segment and the one before it, for a line in x; native and not chained.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,23 +78,12 @@ def look_ahead_change(df: DataFrame, score: str, consecutive: int, threshold: fl
     return df.withColumn("change", (F.count(score).over(w) == consecutive) & (F.min(score).over(w) > threshold))
 
 
-def sequential_blocks(total: int, jobs: int) -> list[range]:
-    """Rows 0..total-1 in runs for ``jobs`` jobs; the first ones take the remainder."""
-    size, more = divmod(total, jobs)
-    out, at = [], 0
-    for k in range(jobs):
-        n = size + (k < more)
-        out.append(range(at, at + n))
-        at += n
-    return out
-
-
-def job_rows(df: DataFrame, job: int, jobs: int, row: str = "py") -> DataFrame:
-    """The raster rows of one of several interlaced jobs."""
+def job_rows(df: DataFrame, job: int, jobs: int, row: str = "py", total: int | None = None) -> DataFrame:
+    """The raster rows of one of several jobs: interlaced, or with the ``total`` of rows in runs, the first ones taking the remainder."""
     if not 0 <= job < jobs:
         raise ValueError(f"no job {job} of {jobs}")
-    return df.where(F.pmod(F.col(row), F.lit(jobs)) == job)
-
-
-def n_groups(low: int, high: int, interval: int) -> int:
-    return max(1, math.ceil((high - low) / interval))
+    if total is None:
+        return df.where(F.pmod(F.col(row), F.lit(jobs)) == job)
+    size, more = divmod(total, jobs)
+    first = job * size + min(job, more)
+    return df.where(F.col(row).between(first, first + size + (job < more) - 1))

@@ -12,8 +12,12 @@ from chronopix.functions import columns as C
 from chronopix.functions.formula import Design
 from chronopix.operators import aggregates, changes, classify, incremental, maps, segmentation, windows
 from chronopix.operators import phenology as pheno
-from chronopix.operators.prep import clear_observations, daily_composite, dates_up_to, pixel_series, with_catalog, with_design
+from chronopix.operators.prep import by_pixel, clear_observations, daily_composite, dates_up_to, pixel_series, with_catalog, with_design
 from chronopix.plans import adapters as A
+from chronopix.plans import jobs
+from chronopix.scratch import Scratch
+from chronopix.sources import catalog as catalogs
+from chronopix.sources import raster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,6 +45,19 @@ def _daily(spark, d, bands=("b0", "b1", "b2", "b3")) -> DataFrame:
     return daily_composite(A.obs(spark, d), list(bands))
 
 
+_ARCHIVES: dict[tuple[str, str], str] = {}
+
+
+def _archive(spark, d) -> str:
+    """The observations as an archive in time-series order, written once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ARCHIVES:
+        path = f"{Scratch(spark, 'archive').root}/archive"
+        raster.layout(A.obs(spark, d), path, rows_per_bucket=4)
+        _ARCHIVES[key] = path
+    return _ARCHIVES[key]
+
+
 def _catalog(spark, d) -> DataFrame:
     o = A.obs(spark, d).groupBy("ordinal").agg(F.max("sensor").alias("sensor"))
     return o.select(F.col("ordinal").cast("string").alias("image_id"), "ordinal", "sensor", F.concat(F.lit("/data/"), F.col("sensor"), F.col("ordinal").cast("string"), F.lit("/stack.dat")).alias("filename"))
@@ -51,10 +68,12 @@ ORD = "DATE '1970-01-01' + (ordinal - 719163)"
 
 
 # -- sources -------------------------------------------------------------------
-@query(f"WITH {CATALOG} SELECT CAST(ordinal AS VARCHAR) AS image_id, sensor, CAST(strftime({ORD}, '%Y%j') AS INTEGER) AS ydoy, ordinal FROM catalog")
+@query(f"WITH {CATALOG} SELECT sensor || ordinal AS image_id, substr(sensor || ordinal, 1, 3) AS sensor, CAST(strftime({ORD}, '%Y%j') AS INTEGER) AS ydoy, ordinal, ordinal AS x, CAST({ORD} AS DATE) AS day FROM catalog")
 def catalog_dates(spark, d):
-    written = _catalog(spark, d).withColumn("ydoy", C.format_ordinal(F.col("ordinal")))
-    return written.select("image_id", "sensor", "ydoy", C.parse_ordinal(F.col("ydoy").cast("string")).alias("ordinal"))
+    path = f"{Scratch(spark, 'catalog').root}/catalog"
+    catalogs.write_catalog(_catalog(spark, d).withColumn("image_id", C.parent_folder(F.col("filename"))), path)
+    found = catalogs.read_catalog(spark, path)  # the dates' column comes back as a date, so the year and day are made again
+    return found.select("image_id", "sensor", C.format_ordinal(F.col("ordinal")).alias("ydoy"), "ordinal", "x", F.col("date").alias("day"))
 
 
 @query(f"WITH {CATALOG} SELECT '/data/' || sensor || ordinal || '/stack.dat' AS filename, sensor || ordinal AS image_id FROM catalog")
@@ -70,12 +89,12 @@ def date_parse(spark, d):
 
 @query(f"WITH {A.OBS} SELECT ordinal, b0, round(b1, 4) AS b1, mask FROM obs WHERE py = 0 AND px = 3")
 def pixel_lookup(spark, d):
-    return A.obs(spark, d).where("py = 0 and px = 3").select("ordinal", "b0", _r("b1").alias("b1"), "mask")
+    return raster.read_pixel(spark, _archive(spark, d), 3, 0, 4).select("ordinal", "b0", _r("b1").alias("b1"), "mask")
 
 
 @query(f"WITH {A.OBS} SELECT px, ordinal, count(*) AS n, round(sum(b0), 2) AS b0 FROM obs WHERE py = 0 GROUP BY px, ordinal")
 def row_scan(spark, d):
-    return A.obs(spark, d).where("py = 0").groupBy("px", "ordinal").agg(F.count("*").alias("n"), F.round(F.sum("b0"), 2).alias("b0"))
+    return raster.read_line(spark, _archive(spark, d), 0, 4).groupBy("px", "ordinal").agg(F.count("*").alias("n"), F.round(F.sum("b0"), 2).alias("b0"))
 
 
 @query(f"WITH {A.OBS} SELECT py, px, CAST(max(CAST(trunc(b2) AS INTEGER)) AS INTEGER) AS b2 FROM obs GROUP BY py, px")
@@ -83,9 +102,10 @@ def band_select(spark, d):
     return A.obs(spark, d).select("py", "px", F.col("b2").cast("int").alias("b2")).groupBy("py", "px").agg(F.max("b2").alias("b2"))
 
 
-@query(f"WITH {A.OBS} SELECT max(py) + 1 AS n_row, max(px) + 1 AS n_col, count(DISTINCT ordinal) AS n_image FROM obs")
+@query(f"WITH {A.OBS} SELECT max(py) + 1 AS n_row, max(px) + 1 AS n_col, unnest(['b0', 'b1', 'b2', 'b3']) AS band, 'double' AS kind FROM obs")
 def image_attributes(spark, d):
-    return A.obs(spark, d).agg((F.max("py") + 1).alias("n_row"), (F.max("px") + 1).alias("n_col"), F.countDistinct("ordinal").alias("n_image"))
+    rows, cols, bands = raster.attributes(spark.read.parquet(_archive(spark, d)))
+    return spark.createDataFrame([(rows, cols, *b) for b in bands], "n_row int, n_col int, band string, kind string")
 
 
 # -- filters, projections ------------------------------------------------------
@@ -210,11 +230,23 @@ def ols_gram_fit(spark, d):
     return fit.select("py", "px", "n", _r("b_0", 3).alias("b_0"), _r("b_1", 3).alias("b_1"), F.round(F.col("rss") / F.col("n"), 0).alias("mse"))
 
 
-@query()
+# least squares by taking one feature after the other out of the rest
+@query(f"""WITH {A.OBS}, {A.DAILY}, v AS (SELECT py, px, b0 AS y, (ordinal - {A.CENTRE}) / 1000 AS x, cos(2 * pi() / 365.25 * ordinal) AS c, sin(2 * pi() / 365.25 * ordinal) AS s FROM daily),
+m AS (SELECT py, px, count(*) AS n, avg(y) AS my, avg(x) AS mx, avg(c) AS mc, avg(s) AS ms FROM v GROUP BY py, px),
+v1 AS (SELECT py, px, n, my, mx, mc, ms, y - my AS y, x - mx AS x, c - mc AS c, s - ms AS s FROM v JOIN m USING (py, px)),
+f1 AS (SELECT py, px, sum(x * y) / sum(x * x) AS xy, sum(x * c) / sum(x * x) AS xc, sum(x * s) / sum(x * x) AS xs FROM v1 GROUP BY py, px),
+v2 AS (SELECT v1.*EXCLUDE (y, c, s), xy, xc, xs, y - xy * x AS y, c - xc * x AS c, s - xs * x AS s FROM v1 JOIN f1 USING (py, px)),
+f2 AS (SELECT py, px, sum(c * y) / sum(c * c) AS cy, sum(c * s) / sum(c * c) AS cs FROM v2 GROUP BY py, px),
+v3 AS (SELECT v2.*EXCLUDE (y, s), cy, cs, y - cy * c AS y, s - cs * c AS s FROM v2 JOIN f2 USING (py, px)),
+f3 AS (SELECT py, px, any_value(n) AS n, any_value(my) AS my, any_value(mx) AS mx, any_value(mc) AS mc, any_value(ms) AS ms, any_value(xy) AS xy, any_value(xc) AS xc, any_value(xs) AS xs, any_value(cy) AS cy, any_value(cs) AS cs,
+  sum(s * y) / sum(s * s) AS b3, sum(y * y) - sum(s * y) ** 2 / sum(s * s) AS rss FROM v3 GROUP BY py, px),
+b AS (SELECT *, cy - cs * b3 AS b2, xy - xc * (cy - cs * b3) - xs * b3 AS b1 FROM f3)
+SELECT py, px, n, round(my - b1 * mx - b2 * mc - b3 * ms, 3) AS b_0, round(b1, 3) AS b_1, round(b2, 3) AS b_2, round(b3, 3) AS b_3, round(rss / n, 0) AS mse FROM b""")
 def ols_harmonic_fit(spark, d):
     design = Design("1 + x + harm(ordinal, 1)")
     rows = _daily(spark, d, ("b0",)).withColumn("x", (F.col("ordinal") - A.CENTRE) / 1000)
-    return aggregates.solve_gram(aggregates.gram(rows, [f.column for f in design.features], F.col("b0")), 4)
+    fit = aggregates.solve_gram(aggregates.gram(rows, [f.column for f in design.features], F.col("b0")), 4)
+    return fit.select("py", "px", "n", *(_r(f"b_{k}", 3).alias(f"b_{k}") for k in range(4)), F.round(F.col("rss") / F.col("n"), 0).alias("mse"))
 
 
 # -- windows -------------------------------------------------------------------
@@ -243,12 +275,9 @@ def cusum_test(spark, d):
 
 
 def _omission(spark, d, how):
-    out = None
-    for b in ("b0", "b1"):
-        rows = windows.line_residuals(_daily(spark, d, (b,)).withColumn("x", F.col("ordinal") - A.CENTRE), b)
-        t = windows.cusum_test(rows, "resid").select("py", "px", (F.col("p_value") < 0.3).alias("hit"))
-        out = t if out is None else out.unionByName(t)
-    return out.groupBy("py", "px").agg(how("hit").alias("omission"))
+    rows = _daily(spark, d, ("b0", "b1")).withColumn("x", F.col("ordinal") - A.CENTRE)
+    whole = rows.groupBy("py", "px").agg(F.lit(0).alias("seg_id"), F.min("ordinal").alias("start"), F.max("ordinal").alias("end"))
+    return segmentation.drifting_segments(rows, whole, ["b0", "b1"], 0.3, how).select("py", "px", "omission")
 
 
 def _omission_sql(how: str) -> str:
@@ -259,12 +288,12 @@ def _omission_sql(how: str) -> str:
 
 @query(_omission_sql("bool_or"))
 def omission_any(spark, d):
-    return _omission(spark, d, F.bool_or)
+    return _omission(spark, d, "ANY")
 
 
 @query(_omission_sql("bool_and"))
 def omission_all(spark, d):
-    return _omission(spark, d, F.bool_and)
+    return _omission(spark, d, "ALL")
 
 
 @query(f"WITH {A.OBS}, {A.DAILY}, r AS (SELECT py, px, ordinal, ((ordinal - {DAY}) % 365.25 + 365.25) % 365.25 AS off FROM daily), k AS (SELECT *, row_number() OVER (PARTITION BY py, px ORDER BY off, ordinal) AS rank FROM r) SELECT py, px, ordinal, round(off::DOUBLE, 2) AS distance, rank::BIGINT AS rank FROM k WHERE rank <= 8")
@@ -431,11 +460,10 @@ def magnitude_indices(spark, d):
     return spark.createDataFrame([(b,) for b in found], "band int")
 
 
-@query(f"WITH {A.SEGMENTS} SELECT py, px, CAST(t.day AS INTEGER) AS ordinal, round(i0 + s0 * (t.day - {A.CENTRE}), 3) AS fitted FROM seg, unnest(range(start, \"end\")) t(day) WHERE py = 0 AND px = 3")
+@query(f"WITH {A.SEGMENTS} SELECT py, px, seg_id, CAST(t.day AS INTEGER) AS ordinal, round(i0 + s0 * (t.day - {A.CENTRE}), 3) AS b0, round(i1 + s1 * (t.day - {A.CENTRE}), 3) AS b1 FROM seg, unnest(range(start, \"end\")) t(day)")
 def fitted_curve(spark, d):
-    s = A.segments(spark, d).where("py = 0 and px = 3 and end > start").withColumn("ordinal", F.explode(F.sequence("start", F.col("end") - 1)))
-    x = F.array(F.lit(1.0), (F.col("ordinal") - A.CENTRE).cast("double"))
-    return s.select("py", "px", "ordinal", F.round(C.dot(F.transform("coef", lambda r: F.element_at(r, 1)), x), 3).alias("fitted"))
+    curves = jobs.fitted_curves(A.segments(spark, d), "1 + x", A.CENTRE)
+    return curves.select("py", "px", "seg_id", "ordinal", *(F.round(F.element_at("fitted", k + 1), 3).alias(f"b{k}") for k in range(2)))
 
 
 # -- training ------------------------------------------------------------------
@@ -470,9 +498,12 @@ def spatial_components(spark, d):
     return classify.components(A.labels(spark, d)).select("py", "px", "label", "component")
 
 
-@query()
+@query(f"""WITH RECURSIVE {A.LABELS}, n AS (SELECT py, px, label, py::BIGINT * 1048576 + px AS id FROM labels_ WHERE label <> 0),
+r(py, px, label, id) AS (SELECT * FROM n UNION SELECT n.py, n.px, n.label, r.id FROM r JOIN n ON n.label = r.label AND abs(n.py - r.py) + abs(n.px - r.px) = 1),
+c AS (SELECT py, px, label, min(id) AS component FROM r GROUP BY py, px, label)
+SELECT py, px, label, component, CAST((dense_rank() OVER (ORDER BY component) - 1) % 3 AS INTEGER) AS fold FROM c""")
 def spatial_folds(spark, d):
-    return classify.spatial_folds(A.labels(spark, d), 3)
+    return classify.spatial_folds(A.labels(spark, d), 3).select("py", "px", "label", "component", "fold")
 
 
 @query()
@@ -547,8 +578,8 @@ def _kernel(spark, d, fn, schema: str, bands=("b0", "b1", "b2", "b3")) -> DataFr
                 out += [(p["py"], p["px"], *row) for row in fn(dates, y)]
             yield pd.DataFrame(out, columns=["py", "px", *names])
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return pixel_series(_daily(spark, d, bands), list(bands)).repartition(n, "py", "px").mapInPandas(run, f"py int, px int, {schema}")
+    daily = daily_composite(by_pixel(A.obs(spark, d).select("py", "px", "ordinal", *bands)), list(bands))
+    return pixel_series(daily, list(bands)).mapInPandas(run, f"py int, px int, {schema}")
 
 
 def _regression(name: str):
@@ -600,26 +631,83 @@ FORMULA = "1 + x + harm(x, 1)"
 PARAMETERS = {"consecutive": 5, "threshold": 3.0, "min_obs": 16, "min_rmse": 100.0, "screening_crit": 4000.0, "green_band": 0, "swir1_band": 1, "remove_noise": True}
 
 
-def _segments(spark, d, **more):
-    o = _daily(spark, d, ("b0", "b1"))
+def _stepped(spark, d) -> DataFrame:
+    o = daily_composite(by_pixel(A.obs(spark, d).select("py", "px", "ordinal", "b0", "b1")), ["b0", "b1"])
     # a step in the middle of every third pixel's series gives changes to find
-    stepped = o.withColumn("b0", F.when((F.col("px") % 3 == 0) & (F.col("ordinal") > 729700), F.col("b0") + 15000).otherwise(F.col("b0")))
-    return stepped, segmentation.segment_pixels(stepped, ["b0", "b1"], FORMULA, PARAMETERS, centre=A.CENTRE, levels={}, **more)
+    return o.withColumn("b0", F.when((F.col("px") % 3 == 0) & (F.col("ordinal") > 729700), F.col("b0") + 15000).otherwise(F.col("b0")))
+
+
+def _segments(spark, d, parameters=None, **more) -> DataFrame:
+    return segmentation.segment_pixels(_stepped(spark, d), ["b0", "b1"], FORMULA, PARAMETERS | (parameters or {}), centre=A.CENTRE, levels={}, dealt=True, **more)
+
+
+REFITS = [{"prefix": "ols", "model": "ols", "keep_regularized": False}, {"prefix": "rlm", "model": "rlm_maxiter10", "keep_regularized": True}]
 
 
 @query()
 def ccdc_segments(spark, d):
-    return _segments(spark, d)[1]
+    return _segments(spark, d)
+
+
+@query()
+def ccdc_lowess(spark, d):
+    return _segments(spark, d, {"estimator": "ols", "screening": "LOWESS"})
+
+
+@query()
+def ccdc_seasonal_rmse(spark, d):
+    return _segments(spark, d, {"estimator": "ols", "dynamic_rmse": True})
+
+
+@query()
+def ccdc_omission(spark, d):
+    return _segments(spark, d, {"estimator": "ols"}, omission_crit=0.05)
+
+
+#: The parameters of the published timings: eight bands, four of them tested.
+PUBLISHED = {"test_indices": [2, 3, 4, 5], "consecutive": 5, "threshold": 4.0, "min_obs": 24, "min_rmse": 100.0, "screening_crit": 4000.0, "green_band": 0, "swir1_band": 1, "remove_noise": True}
+
+
+@query()
+def ccdc_eight_bands(spark, d):
+    o = daily_composite(by_pixel(A.obs(spark, d).select("py", "px", "ordinal", "b0", "b1", "b2", "b3")), ["b0", "b1", "b2", "b3"])
+    mixed = o.withColumns({"b4": (F.col("b0") + F.col("b1")) / 2, "b5": (F.col("b0") + F.col("b2")) / 2, "b6": (F.col("b1") + F.col("b3")) / 2, "b7": (F.col("b2") + F.col("b3")) / 2})
+    return segmentation.segment_pixels(mixed, [f"b{k}" for k in range(8)], "1 + x + harm(x, 1) + harm(x, 2)", PUBLISHED, centre=A.CENTRE, levels={}, dealt=True)
 
 
 @query()
 def commission_merge(spark, d):
-    return _segments(spark, d, commission_alpha=0.01)[1]
+    return _segments(spark, d, commission_alpha=0.01)
 
 
 @query()
 def refit_segments(spark, d):
-    return _segments(spark, d, refits=[{"prefix": "ols", "model": "ols", "keep_regularized": False}, {"prefix": "rlm", "model": "rlm_maxiter10", "keep_regularized": True}])[1]
+    return _segments(spark, d, refits=REFITS)
+
+
+@query()
+def recresid_harmonic(spark, d):
+    def fn(dates, y):
+        from chronopix.functions.formula import Design
+        from chronopix.functions.kernels import recursive_residuals
+
+        # the first fit is over two dozen dates: the first four alone hardly tell a trend from a season
+        x = Design(FORMULA, columns=False).matrix({"x": dates - A.CENTRE})
+        x[:, 1] /= 1000
+        return [(int(o), float(r)) for o, r in zip(dates[24:], recursive_residuals(x, y[0], 24), strict=True)] if len(dates) > 24 else []
+
+    return _kernel(spark, d, fn, "ordinal int, recresid double", ("b0",))
+
+
+@query(f"""WITH {A.SEGMENTS}, o AS (SELECT d.py, d.px, s.seg_id, d.ordinal, d.ordinal - {A.CENTRE} AS x, unnest([d.b0, d.b1]) AS v, unnest(['b0', 'b1']) AS band FROM daily d JOIN seg s ON d.py = s.py AND d.px = s.px AND d.ordinal BETWEEN s.start AND s."end"),
+fit AS (SELECT py, px, seg_id, band, regr_slope(v, x) AS b, regr_intercept(v, x) AS a FROM o GROUP BY 1, 2, 3, 4),
+res AS (SELECT py, px, seg_id, band, ordinal, v - a - b * x AS r FROM o JOIN fit USING (py, px, seg_id, band)),
+cum AS (SELECT py, px, seg_id, band, r, sum(r) OVER (PARTITION BY py, px, seg_id, band ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS c FROM res),
+stat AS (SELECT py, px, seg_id, band, max(abs(c)) / sqrt(sum(r * r) * count(*) / (count(*) - 2)) AS s FROM cum GROUP BY 1, 2, 3, 4 HAVING count(*) > 2 AND sum(r * r) > 0)
+SELECT py, px, seg_id, bool_or({TAIL} < 0.2) AS omission FROM stat GROUP BY 1, 2, 3""")
+def omission_segments(spark, d):
+    rows = _daily(spark, d, ("b0", "b1")).withColumn("x", F.col("ordinal") - A.CENTRE)
+    return segmentation.drifting_segments(rows, A.segments(spark, d), ["b0", "b1"], 0.2)
 
 
 @query()

@@ -18,8 +18,21 @@ def write_segments(segments: DataFrame, path: str, metadata: dict, rows_per_buck
     segments.sparkSession.createDataFrame(note, "json string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
-def read_segments(spark: SparkSession, path: str, skip_corrupt: bool = True) -> DataFrame:
-    """Segments of a result; unreadable files are passed over (the reader warns) if wanted."""
+def _files(spark: SparkSession, path: str):
+    jvm = spark._jvm.org.apache.hadoop.fs
+    return jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm.Path
+
+
+def _recover(spark: SparkSession, path: str) -> None:
+    """Ends a replacement that was broken off between taking the old segments away and putting the new ones there."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(f"{path}/segments")) and fs.exists(at(f"{path}/segments-old")):
+        fs.rename(at(f"{path}/segments-old"), at(f"{path}/segments"))
+
+
+def read_segments(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
+    """Segments of a result; only if wanted, unreadable files are passed over (the reader warns of each)."""
+    _recover(spark, path)
     return spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(f"{path}/segments")
 
 
@@ -36,11 +49,13 @@ def replace_segments(segments: DataFrame, path: str, rows_per_bucket: int = 64)
     spark = segments.sparkSession
     rows = segments.drop("py_bucket").withColumn("py_bucket", F.expr(f"py div {rows_per_bucket}"))
     rows.repartition("py_bucket").sortWithinPartitions("py", "px", "seg_id").write.partitionBy("py_bucket").mode("overwrite").parquet(f"{path}/segments-new")
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(f"{path}/segments"), True)
-    if not fs.rename(jvm.Path(f"{path}/segments-new"), jvm.Path(f"{path}/segments")):
-        raise OSError(f"could not move the new segments of {path} into place")
+    fs, at = _files(spark, path)
+    fs.delete(at(f"{path}/segments-old"), True)
+    # the old segments stay beside the new ones until these are in place
+    for a, b in (("segments", "segments-old"), ("segments-new", "segments")):
+        if not fs.rename(at(f"{path}/{a}"), at(f"{path}/{b}")):
+            raise OSError(f"could not move {a} of {path} to {b}")
+    fs.delete(at(f"{path}/segments-old"), True)
 
 
 def write_map(values: DataFrame, path: str, georeference: dict | None = None, fmt: str = "parquet") -> None:
@@ -53,8 +68,8 @@ def write_map(values: DataFrame, path: str, georeference: dict | None = None, fm
 
 def finished_rows(spark: SparkSession, path: str) -> DataFrame | None:
     """The raster rows that a result already has, or None if there is none."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    target = jvm.Path(f"{path}/segments")
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    _recover(spark, path)
+    fs, at = _files(spark, path)
+    if not fs.exists(at(f"{path}/segments")):
         return None
     return read_segments(spark, path).select("py").distinct()

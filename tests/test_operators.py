@@ -159,7 +159,21 @@ def test_result_with_an_unreadable_file_is_not_rewritten(spark, tmp_path, monkey
     monkeypatch.setattr(jobs.classify, "classify", lambda segments, model, slope: segments.selectExpr("*", "1 AS class"))
     with pytest.raises(Exception, match="(?i)parquet"):
         jobs.classify_result(spark, str(tmp_path), None)
-    assert bad.exists() and results.read_segments(spark, str(tmp_path)).count() == 1
+    assert bad.exists() and results.read_segments(spark, str(tmp_path), skip_corrupt=True).count() == 1
+    with pytest.raises(Exception, match="(?i)parquet"):
+        results.read_segments(spark, str(tmp_path)).count()
+
+
+def test_a_broken_off_replacement_is_recovered(spark, tmp_path):
+    from chronopix.sources import results
+
+    rows = spark.createDataFrame([(0, 0, 0, 5), (100, 0, 0, 6)], "py int, px int, seg_id int, start int")
+    results.write_segments(rows, str(tmp_path), {"design": {"x": 1}})
+    results.replace_segments(results.read_segments(spark, str(tmp_path)).withColumn("class", F.lit(1)), str(tmp_path))
+    assert results.read_segments(spark, str(tmp_path)).where("class = 1").count() == 2
+    assert not (tmp_path / "segments-old").exists() and not (tmp_path / "segments-new").exists()
+    (tmp_path / "segments").rename(tmp_path / "segments-old")
+    assert results.read_segments(spark, str(tmp_path)).count() == 2 and results.finished_rows(spark, str(tmp_path)).count() == 2
 
 
 def test_predicates_and_jobs(spark):
@@ -168,8 +182,9 @@ def test_predicates_and_jobs(spark):
     assert clear_observations(df, ["b1"], 0, 10, "m", [4]).count() == 1 and clear_observations(df, ["b1"], None, 10).count() == 3
     with pytest.raises(ValueError):
         in_range(["b1"], [0, 1], [2, 3])
-    for total, n in ((793, 13), (700, 1), (700, 700)):
-        assert sorted(k for r in windows.sequential_blocks(total, n) for k in r) == list(range(total))
+    for total, n in ((93, 13), (70, 1), (9, 9), (3, 5)):
+        runs = [[r["py"] for r in windows.job_rows(spark.range(total).select(F.col("id").cast("int").alias("py")), k, n, total=total).collect()] for k in range(n)]
+        assert [k for r in runs for k in sorted(r)] == list(range(total)) and max(map(len, runs)) - min(map(len, runs)) <= 1
     lines = spark.range(100).select(F.col("id").cast("int").alias("py"))
     assert sum(windows.job_rows(lines, k, 7).count() for k in range(7)) == 100
     with pytest.raises(ValueError):
