@@ -45,10 +45,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return found.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Count and fingerprint of an edge table; neither can overflow."""
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-    return r["n"], r["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (a > b) are stars around their smallest node: every a has one edge, and no b is an a."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -61,16 +62,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     shared folder, which cuts the lineage.  An empty table gives none.
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _mark(now)
     for _ in range(max_rounds):
-        if not before[0]:
+        if _settled(now):
             break
         new = scratch.keep(_small_star(_large_star(now)).where("a <> b").distinct(), "star")
         scratch.drop(now)
-        now, after = new, _mark(new)
-        if after == before:
-            break
-        before = after
+        now = new
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
