@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chronopix.llm.common import bounded_rows, filter_batches, map_batches
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 15  # two bytes name one
 SIZES = (1, 2, 3, 4)
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
@@ -113,16 +113,19 @@ class LanguageModel:
 
 def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 6, rate: float = 0.5, batch: int = 64, max_rejected: float = 0.001, reject_most: float = 0.5, seed: int = 3) -> LanguageModel:
     """Fit on texts with their languages (texts without letters are left out)."""
-    kept = [(np.concatenate(p), lang) for t, lang in zip(texts, languages, strict=True) if (p := subwords(t)) and sum(map(len, p))]
-    names = sorted({lang for _, lang in kept})
+    # of each text its buckets and their shares only: all its subwords would be many times its size
+    bags, spoken = [], []
+    for text, lang in zip(texts, languages, strict=True):
+        parts = subwords(text)
+        if parts and (n := sum(map(len, parts))):
+            b, c = np.unique(np.concatenate(parts), return_counts=True)
+            bags.append((b.astype(np.uint16), (c / n).astype(np.float32)))
+            spoken.append(lang)
+    names = sorted(set(spoken))
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
-    bags = []
-    for p, _ in kept:
-        b, c = np.unique(p, return_counts=True)
-        bags.append((b, (c / c.sum()).astype(np.float32)))
-    y = np.array([names.index(lang) for _, lang in kept])
+    y = np.array([names.index(lang) for lang in spoken])
     order = rng.permutation(len(bags))
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     emb = rng.normal(0, 1 / dim, (BUCKETS, dim)).astype(np.float32)
