@@ -50,6 +50,8 @@ RULES: dict[str, tuple[str, str, int, int]] = {
 }
 #: Scores end here, a hundred times the usual limit.
 CEILING = 100_000
+#: Scores of so many values are counted together first, about the root of all.
+BAND = 316
 #: Strata by the number of words: below each bound, and the rest.
 STRATA = (200, 800)
 
@@ -144,12 +146,16 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> Da
     """(stratum, n, cutoff or null) from ``labelled``: stratum, score and good (1 or 0), a row for each text."""
     level = delta / (len(STRATA) + 1)
     hist = labelled.groupBy("stratum", "score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    above = Window.partitionBy("stratum").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    counted = hist.withColumn("rejected", F.coalesce(F.sum("good").over(above), F.lit(0)))
+    hist = hist.withColumn("band", F.expr(f"score div {BAND}"))
+    # how many good ones lie above: first by bands of scores, then within each band
+    down = lambda keys, by: Window.partitionBy(*keys).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
+    bands = hist.groupBy("stratum", "band").agg(F.sum("good").alias("n")).select("stratum", "band", F.coalesce(F.sum("n").over(down(["stratum"], "band")), F.lit(0)).alias("over"))
+    counted = hist.withColumn("within", F.coalesce(F.sum("good").over(down(["stratum", "band"], "score")), F.lit(0))).join(bands, ["stratum", "band"])
     allowed = hist.groupBy("stratum").agg(F.sum("good").alias("n")).withColumn("most", most_rejected(F.col("n"), alpha, level))
-    strictest = counted.join(allowed, "stratum").where("rejected <= most").groupBy("stratum", "n").agg(F.min("score").alias("least"))
-    caught = hist.where("bad > 0").select("stratum", F.col("score").alias("caught"))
-    return strictest.join(caught, "stratum", "left").groupBy("stratum", "n", "least").agg(F.min(F.when(F.col("caught") > F.col("least"), F.col("caught"))).alias("caught")).select("stratum", "n", F.coalesce(F.col("caught") - 1, F.col("least")).alias("cutoff"))
+    # tables of a row a stratum
+    strictest = counted.join(F.broadcast(allowed), "stratum").where("over + within <= most").groupBy("stratum", "n").agg(F.min("score").alias("least"))
+    caught = hist.where("bad > 0").join(F.broadcast(strictest), "stratum").where("score > least").groupBy("stratum").agg(F.min("score").alias("caught"))
+    return strictest.join(F.broadcast(caught), "stratum", "left").select("stratum", "n", F.coalesce(F.col("caught") - 1, F.col("least")).alias("cutoff"))
 
 
 def judge(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
