@@ -142,11 +142,13 @@ def most_rejected(n: Column, alpha: float, level: float) -> Column:
     return F.aggregate(steps, start, up, lambda a: a["k"])
 
 
-def cutoffs(labelled: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+def cutoffs(labelled: DataFrame, alpha: float = 0.05, delta: float = 0.05, scratch: Scratch | None = None) -> DataFrame:
     """(stratum, n, cutoff or null) from ``labelled``: stratum, score and good (1 or 0), a row for each text."""
     level = delta / (len(STRATA) + 1)
     hist = labelled.groupBy("stratum", "score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     hist = hist.withColumn("band", F.expr(f"score div {BAND}"))
+    if scratch:  # bounded, and read several times
+        hist = scratch.keep(hist, "histogram")
     # how many good ones lie above: first by bands of scores, then within each band
     down = lambda keys, by: Window.partitionBy(*keys).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
     bands = hist.groupBy("stratum", "band").agg(F.sum("good").alias("n")).select("stratum", "band", F.coalesce(F.sum("n").over(down(["stratum"], "band")), F.lit(0)).alias("over"))
@@ -164,7 +166,7 @@ def judge(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     rows = scratch.keep(signals(documents, id_column, text_column).withColumns({"stratum": stratum(), "score": score()}), "signals")
     usable = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label_column).cast("long").alias("good")).where("id is not null").distinct()
     texts = rows.where(~base_failed()).select("id", "th", "stratum", "score").distinct()
-    chosen = cutoffs(texts.join(usable, "id").select("th", "stratum", "score", "good").distinct(), alpha, delta)
+    chosen = cutoffs(texts.join(usable, "id").select("th", "stratum", "score", "good").distinct(), alpha, delta, scratch)
     ruled = rows.join(F.broadcast(chosen.drop("n")), "stratum", "left")  # a row a stratum
     failed = F.filter(F.array(*(F.when(rule_score(r) > F.col("cutoff"), F.lit(r)) for r in RULES)), lambda r: r.isNotNull())
     return ruled.select("id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "stratum", "score", failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
