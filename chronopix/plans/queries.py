@@ -68,12 +68,12 @@ ORD = "DATE '1970-01-01' + (ordinal - 719163)"
 
 
 # -- sources -------------------------------------------------------------------
-@query(f"WITH {CATALOG} SELECT sensor || ordinal AS image_id, substr(sensor || ordinal, 1, 3) AS sensor, CAST(strftime({ORD}, '%Y%j') AS INTEGER) AS ydoy, ordinal, ordinal AS x, CAST({ORD} AS DATE) AS day FROM catalog")
+@query(f"WITH {CATALOG} SELECT sensor || ordinal AS image_id, substr(sensor || ordinal, 1, 3) AS sensor, CAST(strftime({ORD}, '%Y%j') AS INTEGER) AS ydoy, ordinal, ordinal AS x FROM catalog")
 def catalog_dates(spark, d):
     path = f"{Scratch(spark, 'catalog').root}/catalog"
     catalogs.write_catalog(_catalog(spark, d).withColumn("image_id", C.parent_folder(F.col("filename"))), path)
     found = catalogs.read_catalog(spark, path)  # the dates' column comes back as a date, so the year and day are made again
-    return found.select("image_id", "sensor", C.format_ordinal(F.col("ordinal")).alias("ydoy"), "ordinal", "x", F.col("date").alias("day"))
+    return found.select("image_id", "sensor", C.format_ordinal(F.col("ordinal")).alias("ydoy"), "ordinal", "x")
 
 
 @query(f"WITH {CATALOG} SELECT '/data/' || sensor || ordinal || '/stack.dat' AS filename, sensor || ordinal AS image_id FROM catalog")
