@@ -6,7 +6,7 @@ import warnings
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopix.errors import TrainingDataError, UnknownAlgorithm
@@ -143,14 +143,50 @@ def spatial_folds(labels: DataFrame, k: int, seed: int | None = None) -> DataFra
 
 
 def fold_scores(table: DataFrame, config: dict, k: int) -> tuple[float, float]:
-    """Mean and population deviation of the accuracy over folds (column ``fold``)."""
+    """Mean and population deviation of the accuracy over folds (column ``fold``).
+
+    A fold whose rest has no rows to learn from, or that has none itself, is left out; NaN if all are.
+    """
     import numpy as np
 
     scores = []
     for f in range(k):
-        model = train(table.where(F.col("fold") != f), config)
+        try:
+            model = train(table.where(F.col("fold") != f), config)
+        except TrainingDataError:
+            continue
         held = table.where(F.col("fold") == f).withColumn("vector", array_to_vector("features"))
         row = model.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()
         if row[0] is not None:
             scores.append(row[0])
     return (float(np.mean(scores)), float(np.std(scores))) if scores else (float("nan"), float("nan"))
+
+
+def diagnostics(table: DataFrame, config: dict, k: int = 3, seed: int | None = None) -> DataFrame:
+    """variant, mean, std of the accuracy over k folds of a training table (py, px, label, features).
+
+    The folds are dealt in three ways: in order (kfold), within each label (stratified) and
+    by whole regions of a label (spatial), whose score does not gain from neighbours that are
+    alike.  NaN where a variant has no fold to score.
+    """
+    spark = table.sparkSession
+    rows = Scratch(spark, "diagnostics").keep(table, "table")  # each fold reads it again
+    pixels = rows.select("py", "px", "label").distinct()
+    ways = {"kfold": lambda: kfold(rows, k, ["py", "px"]), "stratified": lambda: kfold(rows, k, ["py", "px"], "label"), "spatial": lambda: rows.join(spatial_folds(pixels, k, seed).select("py", "px", "label", "fold"), ["py", "px", "label"])}
+    out = [(name, *fold_scores(dealt(), config, k)) for name, dealt in ways.items()]
+    return spark.createDataFrame(out, "variant string, mean double, std double")
+
+
+def feature_names(names: list[str], n_bands: int) -> list[str]:
+    """Names of the features of ``maps.class_features``: each coefficient of all bands, then each band's RMSE."""
+    return [f"B{b}_{n}" for n in names for b in range(1, n_bands + 1)] + [f"B{b}_RMSE" for b in range(1, n_bands + 1)]
+
+
+def importances(model: RandomForestClassificationModel, names: list[str] | None = None) -> DataFrame:
+    """feature, importance (their sum is 1), the most important first; ValueError if the names are not one a feature."""
+    values = model.featureImportances.toArray().tolist()
+    names = list(names) if names is not None else [str(k) for k in range(len(values))]
+    if len(names) != len(values):
+        raise ValueError(f"{len(names)} names for {len(values)} features")
+    rows = sorted(zip(names, values, strict=True), key=lambda r: (-r[1], r[0]))
+    return SparkSession.active().createDataFrame(rows, "feature string, importance double")

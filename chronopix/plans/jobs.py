@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopix.config import Config
+from chronopix.functions import columns as C
 from chronopix.functions.formula import Design, category_levels, without_categories
 from chronopix.operators import changes, classify, incremental, maps, segmentation
 from chronopix.operators.phenology import Phenology, long_term_mean
 from chronopix.operators.prep import clear_observations, daily_composite
 from chronopix.operators.windows import job_rows
-from chronopix.sources import results
+from chronopix.sources import files, results
+
+log = logging.getLogger("chronopix")
 
 
 def ordinal(text: str, fmt: str = "%Y-%m-%d") -> int:
@@ -59,6 +63,10 @@ def _algorithm(name: str) -> str:
 
 def line(spark: SparkSession, obs: DataFrame, config: Config, path: str, job: int = 0, jobs: int = 1, resume: bool = False) -> None:
     """Segments of one job's raster rows, written under ``path``; rows that are done are left out if resuming."""
+    readable, writable = files.access(spark, path)
+    if not (readable and writable):
+        raise PermissionError(f"{path} cannot be {'written' if readable else 'read'}")
+    log.info("segments of job %d of %d go to %s", job + 1, jobs, path)
     mine = job_rows(obs, job, jobs) if jobs > 1 else obs
     done = results.finished_rows(spark, path) if resume else None
     if done is not None:
@@ -88,28 +96,59 @@ def fitted_curves(segments: DataFrame, formula: str, centre: int = 0) -> DataFra
     return days.withColumn("_x", x).select("py", "px", "seg_id", "ordinal", F.transform(bands, value).alias("fitted"))
 
 
-def train(labels: DataFrame, segments: DataFrame, config: Config, forest: dict, slope: int | None = 1, path: str | None = None, overwrite: bool = False):
-    """The classifier of labelled pixels; saved under ``path`` (an existing one only with ``overwrite``)."""
+def seasonal(obs: DataFrame, config: Config, py: int, px: int) -> DataFrame:
+    """ordinal, year, doy, season and data bands of one pixel's clear observations, to be drawn by date or by day of year."""
+    own = prepare(obs.where((F.col("py") == py) & (F.col("px") == px)), config)
+    year, doy = C.year_and_doy(F.col("ordinal"))
+    return own.select("ordinal", year.alias("year"), doy.alias("doy"), C.season(F.col("ordinal")).alias("season"), *bands_of(config)[0])
+
+
+def training_rows(labels: DataFrame, segments: DataFrame, config: Config, slope: int | None = 1, cache: str | None = None, newest: int | None = None) -> DataFrame:
+    """The training table of labelled pixels; with ``cache`` kept there, and read again unless something is ``newest`` (milliseconds) after it was written."""
+    spark = labels.sparkSession
+    if cache:
+        files.recover(spark, cache)
+        written = files.modified(spark, cache)
+        if written is not None and (newest is None or newest <= written):
+            log.info("training rows of %s", cache)
+            return spark.read.parquet(cache)
     c = config.classification
     fmt = c.get("training_date_format", "%Y-%m-%d")
     table = classify.training_table(labels, segments, ordinal(c["training_start"], fmt), ordinal(c["training_end"], fmt), c.get("roi_mask_values"), slope)
+    if not cache:
+        return table
+    table.write.mode("overwrite").parquet(f"{cache}-new")
+    files.replace(spark, cache)
+    return spark.read.parquet(cache)
+
+
+def train(labels: DataFrame, segments: DataFrame, config: Config, forest: dict, slope: int | None = 1, path: str | None = None, overwrite: bool = False, cache: str | None = None, newest: int | None = None):
+    """The classifier of labelled pixels; saved under ``path`` (an existing one only with ``overwrite``)."""
+    table = training_rows(labels, segments, config, slope, cache, newest)
     model = classify.train(table, forest)
     if path:
         writer = model.write()
         (writer.overwrite() if overwrite else writer).save(path)
+        log.info("classifier saved to %s", path)
     return model
 
 
 def classify_result(spark: SparkSession, path: str, model, resume: bool = False) -> None:
-    """Adds class and class_proba to a result.
+    """Adds class and class_proba to a result; with ``resume`` only to segments that have none.
 
     A file that cannot be read ends the job: the old files go once the new ones are written, so what was passed over would be lost.
     """
-    found = results.read_segments(spark, path, skip_corrupt=False)
-    if resume and "class" in found.columns:
-        return
+    found = results.read_segments(spark, path, skip_corrupt=False, merge=resume)
     slope = results.read_metadata(spark, path)["design"].get("x")
-    results.replace_segments(classify.classify(found, model, slope), path)
+    done = found.where("class is not null") if resume and "class" in found.columns else None
+    if done is not None:
+        found = found.where("class is null")
+        if found.isEmpty():
+            log.info("all segments of %s have a class", path)
+            return
+    classed = classify.classify(found, model, slope)
+    results.replace_segments(classed if done is None else done.unionByName(classed), path)
+    log.info("classes added to %s", path)
 
 
 def map_at(spark: SparkSession, kind: str, day: date | str | int, path: str, grid: DataFrame, **options) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronopix.config import parse
 from chronopix.functions import columns as C
 from chronopix.functions.formula import Design
 from chronopix.operators import aggregates, changes, classify, incremental, maps, segmentation, windows
@@ -17,7 +18,7 @@ from chronopix.plans import adapters as A
 from chronopix.plans import jobs
 from chronopix.scratch import Scratch
 from chronopix.sources import catalog as catalogs
-from chronopix.sources import raster
+from chronopix.sources import raster, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,6 +109,33 @@ def image_attributes(spark, d):
     return spark.createDataFrame([(rows, cols, *b) for b in bands], "n_row int, n_col int, band string, kind string")
 
 
+@query(f"""WITH {A.OBS}, m AS (SELECT py, px, count(*) AS n, max(b2) AS top FROM obs GROUP BY py, px), e AS (SELECT max(py) + 1 AS n_row, max(px) + 1 AS n_col FROM obs)
+SELECT CAST(y AS INTEGER) AS py, CAST(x AS INTEGER) AS px, coalesce(n, -9999)::FLOAT AS n, coalesce(top, -9999)::FLOAT AS top FROM (SELECT unnest(range(n_row)) AS y, n_col FROM e), LATERAL (SELECT unnest(range(n_col)) AS x) LEFT JOIN m ON py = y AND px = x""")
+def raster_roundtrip(spark, d):
+    rows, cols, _ = raster.attributes(spark.read.parquet(_archive(spark, d)))
+    values = A.obs(spark, d).groupBy("py", "px").agg(F.count("*").alias("n"), F.max("b2").alias("top"))
+    path = f"{Scratch(spark, 'raster').root}.envi"
+    raster.write_raster(values, path, ["n", "top"], rows, cols, -9999)
+    names = raster.read_header(path)["names"]
+    return raster.read_envi(spark, [path]).select("py", "px", *(F.col(f"b{k}").alias(n) for k, n in enumerate(names, 1)))
+
+
+@query(f"WITH {A.SEGMENTS} SELECT py, px, seg_id, start, \"end\", brk AS change, round(i0, 2) AS i0, round(s1, 4) AS s1, round(r1, 3) AS r1, '1 + x' AS design FROM seg")
+def result_roundtrip(spark, d):
+    path = f"{Scratch(spark, 'result').root}/result"
+    results.write_segments(A.segments(spark, d), path, {"design": {"Intercept": 0, "x": 1}, "design_matrix": "1 + x", "n_bands": 2}, rows_per_bucket=4)
+    design = results.read_metadata(spark, path, ("design", "design_matrix"))["design_matrix"]
+    found = results.read_segments(spark, path)
+    return found.select("py", "px", "seg_id", "start", "end", F.col("break").alias("change"), _r(F.col("coef")[0][0], 2).alias("i0"), _r(F.col("coef")[1][1]).alias("s1"), _r(F.col("rmse")[1], 3).alias("r1"), F.lit(design).alias("design"))
+
+
+@query(f"WITH {A.OBS} SELECT ordinal, CAST(year({ORD}) AS INTEGER) AS year, CAST(dayofyear({ORD}) AS INTEGER) AS doy, CASE WHEN month({ORD}) IN (4, 5) THEN 'spring' WHEN month({ORD}) IN (6, 7, 8) THEN 'summer' WHEN month({ORD}) IN (9, 10) THEN 'fall' ELSE 'winter' END AS season, b0 AS b1, round(b1, 4) AS b2 FROM obs WHERE py = 0 AND px = 3 AND mask NOT IN (4) AND b0 BETWEEN 500 AND 9000 AND b1 BETWEEN 0 AND 9000")
+def pixel_seasons(spark, d):
+    config = parse({"dataset": {"n_bands": 3, "mask_band": 3, "mask_values": [4], "min_values": [500, 0, 0], "max_values": [9000, 9000, 5]}, "model": {"algorithm": "CCDC", "prediction": "ols", "design_matrix": "1 + x"}, "CCDC": {}})
+    obs = spark.read.parquet(_archive(spark, d)).select("py", "px", "ordinal", F.col("b0").alias("b1"), F.col("b1").alias("b2"), F.col("mask").alias("b3"))
+    return jobs.seasonal(obs, config, 0, 3).select("ordinal", "year", "doy", "season", "b1", _r("b2").alias("b2"))
+
+
 # -- filters, projections ------------------------------------------------------
 @query(f"WITH {A.OBS} SELECT py, px, count(*) AS n, round(sum(b0), 2) AS b0 FROM obs WHERE b0 BETWEEN 500 AND 4500 AND b1 BETWEEN 0 AND 6000 AND b2 BETWEEN 0 AND 10000 AND b3 BETWEEN 0 AND 10000 GROUP BY py, px")
 def valid_range_filter(spark, d):
@@ -514,6 +542,23 @@ def rf_classify(spark, d):
     return classify.classify(s, model, 1, A.CENTRE).select("py", "px", "seg_id", "class", "class_proba")
 
 
+FOREST = {"algorithm": "RandomForest", "RandomForest": {"init": {"n_estimators": 10, "max_depth": 5}}}
+
+
+def _training(spark, d) -> DataFrame:
+    return classify.training_table(A.labels(spark, d), A.segments(spark, d), DAY, DAY + 10, [0], 1, A.CENTRE)
+
+
+@query()
+def forest_scores(spark, d):
+    return classify.diagnostics(_training(spark, d), FOREST, 3)
+
+
+@query()
+def forest_importances(spark, d):
+    return classify.importances(classify.train(_training(spark, d), FOREST), classify.feature_names(["Intercept", "x"], 2))
+
+
 # -- incremental ---------------------------------------------------------------
 def _images(spark, d):
     c = A.obs(spark, d).select("ordinal").distinct()
@@ -542,6 +587,16 @@ def cache_update(spark, d):
     return incremental.update(o.join(old, "ordinal", "left_semi"), want, o, "ordinal").groupBy("py", "px", "ordinal").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {IMG} SELECT py, px, o.ordinal, count(*) AS n, round(sum(b0), 2) AS b0 FROM obs o WHERE o.ordinal IN (SELECT ordinal FROM want) GROUP BY 1, 2, 3")
+def archive_read_through(spark, d):
+    o = A.obs(spark, d)
+    old, want = _images(spark, d)
+    path = f"{Scratch(spark, 'archive').root}/archive"
+    for images in (old, want, want):  # none is there, one of other images is, one of the same
+        found = raster.read_through(spark, images, lambda wanted: o.join(wanted, "ordinal", "left_semi"), path, 4, "ordinal")
+    return found.groupBy("py", "px", "ordinal").agg(F.count("*").alias("n"), F.round(F.sum("b0"), 2).alias("b0"))
+
+
 @query(f"WITH {A.GRID} SELECT py, px FROM grid WHERE py NOT IN (SELECT DISTINCT py FROM grid WHERE py % 2 = 0)")
 def resume_antijoin(spark, d):
     g = A.grid(spark, d)

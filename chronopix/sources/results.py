@@ -5,35 +5,26 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronopix import __version__
+from chronopix.sources import files, raster
 
 
 def write_segments(segments: DataFrame, path: str, metadata: dict, rows_per_bucket: int = 64, mode: str = "errorifexists") -> None:
     """Segments under ``path``/segments, partitioned by ``py_bucket``; metadata (design, bands, ...) under ``path``/metadata."""
-    rows = segments.withColumn("py_bucket", F.expr(f"py div {rows_per_bucket}"))
-    rows.repartition("py_bucket").sortWithinPartitions("py", "px", "seg_id").write.partitionBy("py_bucket").mode(mode).parquet(f"{path}/segments")
+    raster.by_bucket(segments, rows_per_bucket).sortWithinPartitions("py_bucket", "py", "px", "seg_id").write.partitionBy("py_bucket").mode(mode).parquet(f"{path}/segments")
     note = [(json.dumps(metadata | {"version": __version__, "rows_per_bucket": rows_per_bucket}),)]
     segments.sparkSession.createDataFrame(note, "json string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark._jvm.org.apache.hadoop.fs
-    return jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm.Path
+def read_segments(spark: SparkSession, path: str, skip_corrupt: bool = False, merge: bool = False) -> DataFrame:
+    """Segments of a result; only if wanted, unreadable files are passed over (the reader warns of each).
 
-
-def _recover(spark: SparkSession, path: str) -> None:
-    """Ends a replacement that was broken off between taking the old segments away and putting the new ones there."""
-    fs, at = _files(spark, path)
-    if not fs.exists(at(f"{path}/segments")) and fs.exists(at(f"{path}/segments-old")):
-        fs.rename(at(f"{path}/segments-old"), at(f"{path}/segments"))
-
-
-def read_segments(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
-    """Segments of a result; only if wanted, unreadable files are passed over (the reader warns of each)."""
-    _recover(spark, path)
-    return spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(f"{path}/segments")
+    With ``merge`` the columns are those of all files (a job that was resumed adds files without classes).
+    """
+    files.recover(spark, f"{path}/segments")
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("mergeSchema", str(merge).lower())
+    return reader.parquet(f"{path}/segments")
 
 
 def read_metadata(spark: SparkSession, path: str, needed: tuple[str, ...] = ("design",)) -> dict:
@@ -47,15 +38,8 @@ def read_metadata(spark: SparkSession, path: str, needed: tuple[str, ...] = ("de
 def replace_segments(segments: DataFrame, path: str, rows_per_bucket: int = 64) -> None:
     """New columns for a result: written beside it, then moved into its place (never over what is being read)."""
     spark = segments.sparkSession
-    rows = segments.drop("py_bucket").withColumn("py_bucket", F.expr(f"py div {rows_per_bucket}"))
-    rows.repartition("py_bucket").sortWithinPartitions("py", "px", "seg_id").write.partitionBy("py_bucket").mode("overwrite").parquet(f"{path}/segments-new")
-    fs, at = _files(spark, path)
-    fs.delete(at(f"{path}/segments-old"), True)
-    # the old segments stay beside the new ones until these are in place
-    for a, b in (("segments", "segments-old"), ("segments-new", "segments")):
-        if not fs.rename(at(f"{path}/{a}"), at(f"{path}/{b}")):
-            raise OSError(f"could not move {a} of {path} to {b}")
-    fs.delete(at(f"{path}/segments-old"), True)
+    raster.by_bucket(segments.drop("py_bucket"), rows_per_bucket).sortWithinPartitions("py_bucket", "py", "px", "seg_id").write.partitionBy("py_bucket").mode("overwrite").parquet(f"{path}/segments-new")
+    files.replace(spark, f"{path}/segments")
 
 
 def write_map(values: DataFrame, path: str, georeference: dict | None = None, fmt: str = "parquet") -> None:
@@ -68,8 +52,7 @@ def write_map(values: DataFrame, path: str, georeference: dict | None = None, fm
 
 def finished_rows(spark: SparkSession, path: str) -> DataFrame | None:
     """The raster rows that a result already has, or None if there is none."""
-    _recover(spark, path)
-    fs, at = _files(spark, path)
-    if not fs.exists(at(f"{path}/segments")):
+    files.recover(spark, f"{path}/segments")
+    if not files.exists(spark, f"{path}/segments"):
         return None
     return read_segments(spark, path).select("py").distinct()

@@ -237,6 +237,103 @@ def test_rasters(spark, tmp_path):
     assert raster.attributes(df)[:2] == (5, 4) and (raster.to_array(df, "b2", 5, 4, -1) == data[:, :, 1]).all()
 
 
+@pytest.mark.parametrize("interleave", ["bip", "bil", "bsq"])
+def test_rasters_with_headers(spark, tmp_path, interleave, monkeypatch):
+    data = np.random.default_rng(2).integers(0, 60000, (7, 4, 3)).astype(">u2")
+    order = {"bip": (0, 1, 2), "bil": (0, 2, 1), "bsq": (2, 0, 1)}[interleave]
+    (tmp_path / "a.img").write_bytes(b"head" + np.ascontiguousarray(data.transpose(order)).tobytes())
+    (tmp_path / "a.hdr").write_text(f"ENVI\nsamples = 4\nlines=7\nbands = 3\nheader offset = 4\ndata type = 12\ninterleave = {interleave.upper()}\nbyte order = 1\nband names = {{red,\n nir, swir}}\n")
+    assert raster.read_header(f"{tmp_path}/a.img")["names"] == ["red", "nir", "swir"]
+    for path in (f"{tmp_path}/a.img", f"file://{tmp_path}/a.img", f"file:{tmp_path}/a.img"):
+        got = raster.read_envi(spark, [path]).collect()
+        assert len(got) == 28 and all(data[r["py"], r["px"]].tolist() == [r["b1"], r["b2"], r["b3"]] for r in got)
+    part = raster.read_envi(spark, [f"{tmp_path}/a.img"], [3], (2, 4)).collect()
+    assert sorted((r["py"], r["px"], r["b3"]) for r in part) == [(y, x, data[y, x, 2]) for y in (2, 3) for x in range(4)]
+    monkeypatch.setattr(raster, "_HELD", 1)  # one row of pixels after the other
+    options = {"nrow": 7, "ncol": 4, "nband": 3, "dtype": "uint16", "order": ">", "offset": 4, "interleave": interleave}
+    runs = list(raster._Reader(options, raster.read_envi(spark, [f"{tmp_path}/a.img"]).schema).read(raster._Rows(f"{tmp_path}/a.img", 1, 6)))
+    assert [b.num_rows for b in runs] == [4] * 5 and runs[0]["b2"].to_pylist() == data[1, :, 1].tolist()
+
+
+def test_headers_that_do_not_fit(spark, tmp_path):
+    for name, lines in (("a", 2), ("b", 3)):
+        (tmp_path / name).write_bytes(bytes(2 * lines))
+        (tmp_path / f"{name}.hdr").write_text(f"ENVI\nsamples = 2\nlines = {lines}\nbands = 1\ndata type = 1\ninterleave = bip\n")
+    assert raster.read_envi(spark, [f"{tmp_path}/a"]).count() == 4
+    with pytest.raises(Exception, match="is not of 2 rows"):
+        raster.read_envi(spark, [f"{tmp_path}/a", f"{tmp_path}/b"]).collect()
+    (tmp_path / "c").write_bytes(b"")
+    with pytest.raises(OSError):
+        raster.read_header(f"{tmp_path}/c")
+    (tmp_path / "c.hdr").write_text("ENVI\nsamples = 2\nlines = 1\nbands = 1\ndata type = 99\ninterleave = bip\n")
+    with pytest.raises(OSError):
+        raster.read_header(f"{tmp_path}/c")
+    with pytest.raises(OSError):
+        raster.read_envi(spark, [])
+
+
+def test_maps_as_rasters(spark, tmp_path):
+    rows = [(0, 1, 5.5, None), (3, 0, float("nan"), 7), (3, 2, -1.0, 8), (9, 0, 1.0, 1), (-1, 0, 1.0, 1), (1, 3, 1.0, 1)]
+    values = spark.createDataFrame(rows, "py int, px int, a double, b int")
+    path = f"{tmp_path}/map"
+    raster.write_raster(values, path, ["a", "b"], 5, 3, -9999, names=["A, first", "B"], georeference={"map info": "UTM, 1, 1"})
+    h = raster.read_header(path)
+    assert h["names"] == ["A; first", "B"] and h["ndv"] == -9999 and h["georeference"] == {"map info": "UTM, 1, 1"} and (h["nrow"], h["ncol"]) == (5, 3)
+    expected = np.full((5, 3, 2), -9999, "<f4")
+    expected[0, 1, 0], expected[3, 0, 1], expected[3, 2] = 5.5, 7, (-1, 8)
+    assert (np.fromfile(path, "<f4").reshape(5, 3, 2) == expected).all()
+    assert {(r["py"], r["px"]): r["b2"] for r in raster.read_envi(spark, [path]).collect()}[3, 2] == 8
+    raster.write_raster(values.where("a > 100"), f"{tmp_path}/none", ["a"], 2, 2, 0, "int16")
+    assert (np.fromfile(f"{tmp_path}/none", "<i2") == np.zeros(4)).all()
+    with pytest.raises(ValueError):
+        raster.write_raster(values, path, ["a", "b"], 5, 3, -9999, names=["A"])
+
+
+def test_archive_is_read_through(spark, tmp_path):
+    path, asked = f"{tmp_path}/obs", []
+    images = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "image_id string, ordinal int")
+
+    def source(wanted):
+        asked.append(sorted(r["image_id"] for r in wanted.collect()))
+        return wanted.crossJoin(spark.range(2).selectExpr("cast(id as int) as py", "0 as px")).withColumn("b1", F.col("ordinal") * 10)
+
+    for wanted, new in (("a b", ["a", "b"]), ("a b", None), ("b c", ["c"]), ("b", [])):
+        asked.clear()
+        found = raster.read_through(spark, images.where(F.col("image_id").isin(*wanted.split())), source, path)
+        assert sorted((r["image_id"], r["py"]) for r in found.collect()) == [(i, y) for i in wanted.split() for y in (0, 1)]
+        assert asked == ([new] if new else [])
+    with pytest.raises(ValueError):
+        raster.read_through(spark, images.limit(0), source, path)
+
+
+def test_access_and_times(spark, tmp_path):
+    from chronopix.sources import files
+
+    assert files.access(spark, f"{tmp_path}/new") == (True, True) and not list((tmp_path / "new").iterdir())
+    (tmp_path / "file").write_text("x")
+    assert files.access(spark, f"{tmp_path}/file/below")[1] is False
+    assert files.modified(spark, f"{tmp_path}/none") is None and files.modified(spark, f"{tmp_path}/new") is None and files.modified(spark, f"{tmp_path}/file") > 0
+
+
+def test_classes_are_added_to_what_a_resumed_job_appended(spark, tmp_path, monkeypatch):
+    from chronopix.sources import results
+
+    seen = []
+
+    def classed(segments, model, slope):
+        seen.append(sorted(r["py"] for r in segments.collect()))
+        return segments.drop("class", "class_proba").selectExpr("*", "7 AS class", "array(float(1)) AS class_proba")
+
+    monkeypatch.setattr(jobs.classify, "classify", classed)
+    rows = lambda *py: spark.createDataFrame([(y, 0, 0, 5) for y in py], "py int, px int, seg_id int, start int")
+    results.write_segments(rows(0, 1), str(tmp_path), {"design": {"x": 1}})
+    jobs.classify_result(spark, str(tmp_path), None)
+    jobs.classify_result(spark, str(tmp_path), None, resume=True)  # nothing is left to do
+    results.write_segments(rows(2, 70), str(tmp_path), {"design": {"x": 1}}, mode="append")
+    jobs.classify_result(spark, str(tmp_path), None, resume=True)
+    assert seen == [[0, 1], [2, 70]] and results.read_segments(spark, str(tmp_path)).where("class = 7").count() == 4
+
+
 CONFIG = {
     "dataset": {"n_bands": 3, "mask_band": 3, "mask_values": [4], "min_values": 0, "max_values": [20000, 20000, 5]},
     "model": {"algorithm": "CCDC", "prediction": "lasso1", "design_matrix": "1 + x + harm(x, 1)", "commission_alpha": 0.01, "refit": {"prefix": ["ols"], "prediction": ["ols"]}},

@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -284,6 +285,30 @@ def test_classes_are_the_likeliest_and_learnt(spark, sf):
     assert hits and np.mean(hits) > 0.8  # a forest knows what it was shown
 
 
+def test_scores_of_folds_and_importances(spark, sf):
+    from chronopix.operators import classify
+
+    got = {r["variant"]: (r["mean"], r["std"]) for r in QUERIES["forest_scores"](spark, sf).collect()}
+    assert set(got) == {"kfold", "stratified", "spatial"} and all(0 <= m <= 1 and 0 <= s <= 0.5 for m, s in got.values())
+    rows = QUERIES["forest_importances"](spark, sf).collect()
+    assert sorted(r["feature"] for r in rows) == ["B1_Intercept", "B1_RMSE", "B1_x", "B2_Intercept", "B2_RMSE", "B2_x"]
+    assert sum(r["importance"] for r in rows) == pytest.approx(1) and rows == sorted(rows, key=lambda r: -r["importance"])
+    # a label that one feature tells is learnt from that one, in every variant; without it half of the guesses are right at best
+    r = np.random.default_rng(3)
+    told = [(k // 10, k % 10, 1 + (k * 7) % 2, [float((k * 7) % 2), float(r.normal())]) for k in range(120)]
+    table = spark.createDataFrame(told, "py int, px int, label int, features array<double>")
+    config = {"algorithm": "RandomForest", "RandomForest": {"init": {"n_estimators": 5, "max_features": None}}}
+    assert all(r["mean"] == 1 and r["std"] == 0 for r in classify.diagnostics(table, config, 3).collect())
+    first = classify.importances(classify.train(table, config), ["told", "noise"]).first()
+    assert first["feature"] == "told" and first["importance"] > 0.95
+    with pytest.raises(ValueError):
+        classify.importances(classify.train(table, config), ["told"])
+    # by hand: the folds of one row each are scored by forests of the other row, which know one label only
+    two = table.where("py = 0 and px < 2").withColumn("fold", F.col("px"))
+    assert classify.fold_scores(two, config, 2) == (0.0, 0.0)
+    assert all(math.isnan(v) for v in classify.fold_scores(two.where("px = 0"), config, 1))
+
+
 def test_every_query_beyond_sql_has_a_value_test():
     here = Path(__file__).read_text()
     assert not [n for n in set(QUERIES) - set(ORACLE_SQL) if f'"{n}"' not in here]
