@@ -170,10 +170,11 @@ def diagnostics(table: DataFrame, config: dict, k: int = 3, seed: int | None = N
     alike.  NaN where a variant has no fold to score.
     """
     spark = table.sparkSession
-    rows = Scratch(spark, "diagnostics").keep(table, "table")  # each fold reads it again
+    scratch = Scratch(spark, "diagnostics")
+    rows = scratch.keep(table, "table")
     pixels = rows.select("py", "px", "label").distinct()
     ways = {"kfold": lambda: kfold(rows, k, ["py", "px"]), "stratified": lambda: kfold(rows, k, ["py", "px"], "label"), "spatial": lambda: rows.join(spatial_folds(pixels, k, seed).select("py", "px", "label", "fold"), ["py", "px", "label"])}
-    out = [(name, *fold_scores(dealt(), config, k)) for name, dealt in ways.items()]
+    out = [(name, *fold_scores(scratch.keep(dealt(), name), config, k)) for name, dealt in ways.items()]  # written, as every fold reads it again
     return spark.createDataFrame(out, "variant string, mean double, std double")
 
 
