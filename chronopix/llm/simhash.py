@@ -14,6 +14,10 @@ of them within two bits of each other, and each is linked to the smallest there,
 which keeps every connection.  This is one way for buckets of every size, and its
 work is linear in the number of fingerprints.
 
+More tables find more near copies: each holds a fingerprint of its own of the same
+shingles (the hashes are mixed anew), and texts link if they do in any.  A filter
+of near copies takes three; the fingerprint that is reported is the first table's.
+
 Defined results: null and wordless texts have fingerprint zero and link to each
 other; repeated rows each keep a row; a null id keeps its row and counts for no
 class's smallest id; ids may be of any type that has an order; an empty table
@@ -32,48 +36,74 @@ from chronopix.llm.components import connected_components, join_spread
 _WEIGHTS = 1 << np.arange(63, -1, -1, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash: a bit is set if it is set in over half of the shingles' XXH64."""
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    """The hashes for another table: 64-bit values mixed anew, by the finalizer of SplitMix64."""
+    z = h + np.uint64((0x9E3779B97F4A7C15 * table) % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def table_fingerprints(text: str | None, words: int = 3, seed: int = 42, tables: int = 1) -> list[int]:
+    """Unsigned 64-bit SimHashes, one a table: a bit is set if it is set in over half of the shingles' hashes.
+
+    The first table's hashes are XXH64, the others' those mixed anew, so that each is a fingerprint of its own of the same shingles.
+    """
     from itertools import repeat
 
     from xxhash import xxh64_intdigest
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(parts)
-    if not n:
-        return 0
-    if n <= words:
-        return xxh64_intdigest(b" ".join(parts), seed)
+    if not parts:
+        return [0] * tables
     whole = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]).tolist()
     starts = [0, *ends[:-1]]
-    pieces = [whole[a : b - 1] for a, b in zip(starts, ends[words - 1 :], strict=False)]
+    pieces = [whole[a : b - 1] for a, b in zip(starts, ends[words - 1 :], strict=False)] or [whole]
     h = np.fromiter(map(xxh64_intdigest, pieces, repeat(seed)), np.uint64, len(pieces))
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(h), 8192):
-        part = np.ascontiguousarray(h[at : at + 8192].astype(">u8"))
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(_WEIGHTS[total * 2 > len(pieces)].sum(dtype=np.uint64))
+    out = []
+    for t in range(tables):
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(h), 8192):
+            own = _mixed(h[at : at + 8192], t) if t else h[at : at + 8192]
+            part = np.ascontiguousarray(own.astype(">u8"))
+            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(_WEIGHTS[total * 2 > len(pieces)].sum(dtype=np.uint64)))
+    return out
+
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash: a bit is set if it is set in over half of the shingles' XXH64."""
+    return table_fingerprints(text, words, seed)[0]
 
-def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(id, th, fp): fp is the fingerprint's 64 bits as a signed long, th Spark's own hash of the text."""
+
+def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42, tables: int = 1) -> DataFrame:
+    """(id, th, fp, f1, ...): fp is the fingerprint's 64 bits as a signed long, f1 and on those of further tables, th Spark's own hash of the text."""
 
     def make():
         def fn(ids, hashes, texts):
-            return [ids, hashes, [v - (1 << 64) if v >> 63 else v for v in (fingerprint(t, words, seed) for t in texts)]]
+            found = np.array([table_fingerprints(t, words, seed, tables) for t in texts], np.uint64).reshape(-1, tables).astype(np.int64)
+            return [ids, hashes, *(found[:, t].tolist() for t in range(tables))]
 
         return fn
 
     kind = dict(documents.dtypes)[id_column]
     rows = documents.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).alias("text"))
-    return map_batches(rows, make, ["id", "th", "text"], f"id {kind}, th long, fp long")
+    return map_batches(rows, make, ["id", "th", "text"], f"id {kind}, th long, " + ", ".join(f"{c} long" for c in _columns(tables)))
+
 
+def _columns(tables: int) -> list[str]:
+    return ["fp", *(f"f{t}" for t in range(1, tables))]
 
-def _segments(column: str = "fp"):
-    """The two 32-bit segments, each with its number in the bits above."""
+
+def _segments(prints: DataFrame):
+    """The two 32-bit segments of fp, each with its number in the bits above, and the table's (column t, if there is one) above that."""
     low = F.lit((1 << 32) - 1)
-    return F.shiftrightunsigned(F.col(column), 32).bitwiseAND(low), F.col(column).bitwiseAND(low).bitwiseOR(F.lit(1 << 32))
+    hi, lo = F.shiftrightunsigned(F.col("fp"), 32).bitwiseAND(low), F.col("fp").bitwiseAND(low).bitwiseOR(F.lit(1 << 32))
+    if "t" not in prints.columns:
+        return hi, lo
+    table = F.shiftleft(F.col("t").cast("long"), 33)
+    return hi.bitwiseOR(table), lo.bitwiseOR(table)
 
 
 def _probes(value):
@@ -85,34 +115,57 @@ def _probes(value):
 
 
 def candidates(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """The fingerprints (fp) that meet another one within a bit in one of their segments; ``prints``: distinct fp.
+    """The fingerprints that meet another one of their table within a bit in one of their segments; ``prints``: distinct (fp) or (t, fp).
 
     The look-up's join is by segment; a segment that very many share is a large
     partition, which the adaptive skew join splits.
     """
-    hi, lo = _segments()
+    by = [c for c in ("t",) if c in prints.columns]
+    hi, lo = _segments(prints)
     table = prints.select("fp", F.explode(F.array(hi, lo)).alias("key"))
     sizes = table.groupBy("key").agg(F.count("*").alias("n"))
-    probes = prints.select("fp", F.explode(F.concat(_probes(hi), _probes(lo))).alias("key"), hi.alias("hi"), lo.alias("lo")).select("fp", "key", F.col("key").isin(F.col("hi"), F.col("lo")).alias("own"))
-    met = scratch.keep(probes.join(sizes, "key").where("n > 1 or not own").select("fp", "key", "own"), "met")
+    probes = prints.select("fp", F.explode(F.concat(_probes(hi), _probes(lo))).alias("key"))
+    numbered = lambda df: df.withColumn("t", F.shiftright("key", 33).cast("int")) if by else df
+    looked = numbered(probes.join(sizes, "key"))  # what the key tells is not shuffled: the table, and whether it is the fingerprint's own segment
+    met = scratch.keep(looked.withColumn("own", F.col("key").isin(*_segments(looked))).where("n > 1 or not own").select(*by, "fp", "key", "own"), "met")
     # a neighbour's look-up finds the bucket; those in it are candidates too
-    found = table.join(met.where("not own").select("key").distinct(), "key", "left_semi")
-    return met.select("fp").unionByName(found.select("fp")).distinct()
+    found = numbered(table.join(met.where("not own").select("key").distinct(), "key", "left_semi"))
+    return met.select(*by, "fp").unionByName(found.select(*by, "fp")).distinct()
 
 
 def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within two bits; ``prints``: distinct fp."""
+    """Links (a, b), or (t, a, b), whose components are those of all pairs of a table within two bits; ``prints``: distinct (fp) or (t, fp)."""
+    by = [c for c in ("t",) if c in prints.columns]
     one = F.lit(1).cast("long")
     ball = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i))))
-    stars = candidates(prints, scratch).select("fp", F.explode(ball).alias("at"))
-    least = stars.groupBy("at").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b <> most").select("at", "b")
-    linked = stars.join(least, "at").where("fp <> b").select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"))
+    stars = candidates(prints, scratch).select(*by, "fp", F.explode(ball).alias("at"))
+    least = stars.groupBy(*by, "at").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b <> most").select(*by, "at", "b")
+    linked = stars.join(least, [*by, "at"]).where("fp <> b").select(*by, F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"))
     return linked.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
-def roots(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """``prints`` (distinct fp, other columns) with root, the smallest fingerprint of the class."""
-    found = connected_components(scratch.keep(links(prints.select("fp"), scratch), "links"), scratch)
+def table_links(prints: DataFrame, scratch: Scratch, tables: int) -> DataFrame:
+    """Links (a, b) of the first tables' fingerprints, whose components are those of all texts that are within two bits in any table.
+
+    ``prints``: distinct (fp, f1, ...).  In every table but the first, a fingerprint stands
+    for the smallest fp that has it; others that have it are linked to that one, and so
+    are those of two fingerprints that link.
+    """
+    values = F.array(*(F.struct(F.lit(t).alias("t"), F.col(c).alias("v")) for t, c in enumerate(_columns(tables))))
+    stacked = prints.select("fp", F.explode(values).alias("k"))
+    owners = scratch.keep(stacked.groupBy("k").agg(F.min("fp").alias("rep"), F.max("fp").alias("most")), "owners")
+    same = join_spread(stacked, owners.where("rep <> most").select("k", "rep"), "k", "fp").where("fp <> rep").select("fp", "rep")
+    found = links(owners.select("k.t", F.col("k.v").alias("fp")), scratch)
+    end = lambda c: F.struct("t", F.col(c).alias("v"))
+    first = found.select("t", "b", end("a").alias("k")).join(owners.select("k", F.col("rep").alias("fp")), "k")
+    both = join_spread(first.select("fp", end("b").alias("k")), owners.select("k", "rep"), "k", "fp").where("fp <> rep").select("fp", "rep")
+    return same.unionByName(both).select(F.greatest("fp", "rep").alias("a"), F.least("fp", "rep").alias("b")).distinct()
+
+
+def roots(prints: DataFrame, scratch: Scratch, linked: DataFrame | None = None) -> DataFrame:
+    """``prints`` (distinct fp, other columns) with root, the smallest fingerprint of the class; ``linked``: links other than those of two bits."""
+    edges = links(prints.select("fp"), scratch) if linked is None else linked
+    found = connected_components(scratch.keep(edges, "links"), scratch)
     return prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -128,9 +181,12 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     return join_spread(docs.select("id", "th", "fp"), named, "fp", "id").select("id", "fp", "component")
 
 
-def keep_one_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+def keep_one_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42, tables: int = 3) -> DataFrame:
     """The documents, all columns as they are, without near-duplicates: of each class one row.
 
+    Texts link if their fingerprints are within two bits in any of ``tables`` tables; a near copy
+    that is three or four bits away in one is often within two in another.
+
     That is the row with the smallest id (rows without one come last), of several
     texts under that id the one with the least hash, and of rows that repeat id and
     text the first by all their columns, written as JSON.  Rows that share an id with texts
@@ -138,10 +194,11 @@ def keep_one_each(documents: DataFrame, id_column: str = "doc_id", text_column:
     goes is taken out of a second scan of the documents.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
-    found = fingerprints(documents, id_column, text_column, words, seed)
-    rows = scratch.keep(found.groupBy("id", "th", "fp").agg(F.count("*").alias("n")), "fingerprints")
+    found = fingerprints(documents, id_column, text_column, words, seed, tables)
+    rows = scratch.keep(found.groupBy("id", "th", *_columns(tables)).agg(F.count("*").alias("n")), "fingerprints")
     prints = scratch.keep(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("least")), "distinct")
-    keepers = roots(prints, scratch).groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.th")
+    linked = table_links(scratch.keep(rows.select(*_columns(tables)).distinct(), "tables"), scratch, tables) if tables > 1 else None
+    keepers = roots(prints, scratch, linked).groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.th")
     k, r = keepers.alias("k"), rows.alias("r")
     kept = F.col("k.th").isNotNull()
     fate = scratch.keep(r.join(k, F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.th") == F.col("k.th")), "left").where(~kept | (F.col("r.n") > 1)).select("r.id", "r.th", kept.alias("kept")), "fate")

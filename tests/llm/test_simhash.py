@@ -141,3 +141,67 @@ def test_keys_beyond_the_broadcast_are_joined_alike(spark, odd, monkeypatch):
     few = sorted(str(tuple(r)) for r in simhash.keep_one_each(odd).collect())
     monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
     assert sorted(str(tuple(r)) for r in simhash.keep_one_each(odd).collect()) == few
+
+
+def test_tables_have_fingerprints_of_their_own(odd_rows):
+    def mixed(h, table):
+        z, top = (h + 0x9E3779B97F4A7C15 * table) % (1 << 64), 1 << 64
+        z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 % top
+        z = (z ^ (z >> 27)) * 0x94D049BB133111EB % top
+        return z ^ (z >> 31)
+
+    for text in {r[1] for r in odd_rows} | {"a b c d e f g", "one", None}:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))] if words else []
+        slow = lambda hs: sum(1 << bit for bit in range(64) if 2 * sum(v >> bit & 1 for v in hs) > len(hs)) if len(hs) < 2000 else None
+        got = simhash.table_fingerprints(text, tables=3)
+        assert got[0] == simhash.fingerprint(text)
+        for t in (1, 2):
+            expected = slow([mixed(v, t) for v in h])
+            assert expected is None or got[t] == expected
+
+
+def test_links_of_any_table_equal_brute_force(spark):
+    r, top = random.Random(11), 1 << 64
+    base = [[r.getrandbits(64) for _ in range(3)] for _ in range(60)]
+    rows = set()
+    for k, b in enumerate(base):
+        rows.add(tuple(b))
+        for _ in range(r.randrange(6)):  # near ones, by few bits or many in each table
+            near = [v ^ sum(1 << i for i in r.sample(range(64), r.choice((0, 1, 2, 3, 6)))) for v in b]
+            rows.add(tuple(near))
+        if k % 7 == 0:  # the same in one table only, and the same first fingerprint with others
+            rows.add((r.getrandbits(64), b[1], r.getrandbits(64)))
+            rows.add((b[0], r.getrandbits(64), r.getrandbits(64)))
+    signed = [tuple(v - top if v >> 63 else v for v in x) for x in rows]
+    nodes = sorted({x[0] for x in signed})
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for x in signed:
+        for y in signed:
+            if any(((u ^ v) % top).bit_count() <= 2 for u, v in zip(x, y, strict=True)):
+                a, b = sorted((find(x[0]), find(y[0])))
+                root[b] = a
+    scratch = Scratch(spark, "test")
+    prints = spark.createDataFrame(signed, "fp long, f1 long, f2 long")
+    got = simhash.roots(prints.select("fp").distinct(), scratch, simhash.table_links(prints, scratch, 3)).collect()
+    assert {x["fp"]: x["root"] for x in got} == {n: find(n) for n in nodes}
+
+
+def test_more_tables_find_more_near_copies(spark):
+    r = random.Random(4)
+    rows = []
+    for k in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(150)]
+        rows.append((2 * k, " ".join(words)))
+        words[r.randrange(150)] = "changed"
+        words[r.randrange(150)] = "again"
+        rows.append((2 * k + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [{x["doc_id"] for x in simhash.keep_one_each(docs, tables=t).collect()} for t in (1, 3)]
+    assert kept[1] < kept[0] and {2 * k for k in range(40)} <= kept[1]
