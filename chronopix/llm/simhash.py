@@ -118,7 +118,9 @@ def candidates(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """The fingerprints that meet another one of their table within a bit in one of their segments; ``prints``: distinct (fp) or (t, fp).
 
     The look-up's join is by segment; a segment that very many share is a large
-    partition, which the adaptive skew join splits.
+    partition, which the adaptive skew join splits.  Both sides are shuffled:
+    Spark's estimate of exploded rows is that of the rows before, so it would
+    broadcast the look-ups, over 30 a fingerprint, from the driver.
     """
     by = [c for c in ("t",) if c in prints.columns]
     hi, lo = _segments(prints)
@@ -126,7 +128,7 @@ def candidates(prints: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = table.groupBy("key").agg(F.count("*").alias("n"))
     probes = prints.select("fp", F.explode(F.concat(_probes(hi), _probes(lo))).alias("key"))
     numbered = lambda df: df.withColumn("t", F.shiftright("key", 33).cast("int")) if by else df
-    looked = numbered(probes.join(sizes, "key"))  # what the key tells is not shuffled: the table, and whether it is the fingerprint's own segment
+    looked = numbered(probes.hint("merge").join(sizes, "key"))  # what the key tells is not shuffled: the table, and whether it is the fingerprint's own segment
     met = scratch.keep(looked.withColumn("own", F.col("key").isin(*_segments(looked))).where("n > 1 or not own").select(*by, "fp", "key", "own"), "met")
     # a neighbour's look-up finds the bucket; those in it are candidates too
     found = numbered(table.join(met.where("not own").select("key").distinct(), "key", "left_semi"))
@@ -140,7 +142,7 @@ def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
     ball = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i))))
     stars = candidates(prints, scratch).select(*by, "fp", F.explode(ball).alias("at"))
     least = stars.groupBy(*by, "at").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b <> most").select(*by, "at", "b")
-    linked = stars.join(least, [*by, "at"]).where("fp <> b").select(*by, F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"))
+    linked = stars.hint("merge").join(least, [*by, "at"]).where("fp <> b").select(*by, F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"))
     return linked.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 

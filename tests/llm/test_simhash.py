@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import xxhash
@@ -85,6 +86,32 @@ def test_candidates_are_what_meets_in_a_segment(spark):
     assert {x["fp"] % (1 << 64) for x in simhash.candidates(df, Scratch(spark, "test")).collect()} == expected
 
 
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    class Seen(Scratch):
+        def keep(self, df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().keep(df, name)
+
+    monkeypatch.setattr(simhash, "Scratch", Seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        r = random.Random(5)
+        rows = [(k, " ".join(f"w{r.randrange(50)}" for _ in range(20))) for k in range(100)]
+        simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = [line for plan in plans for line in [*plan.split("\n"), ""]]
+    depth = [re.match(r"[\s:+\-*()\d]*", line).end() for line in lines]
+    assert sum("Generate" in line for line in lines) >= 4
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next(j for j in range(i + 1, len(lines)) if depth[j] <= depth[i])
+            assert not [x for x in lines[i:end] if "Generate" in x]
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     scratch = Scratch(spark, "test")
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
