@@ -93,10 +93,18 @@ def halfmax(values: Column) -> Column:
 
     NaN entries are passed over; an empty or constant array gives null.
     """
-    real = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
-    low, high = F.array_min(real), F.array_max(real)
-    off = F.transform(values, lambda v: F.when(v.isNull() | F.isnan(v), F.lit(None).cast("double")).otherwise(F.abs((v - low) / (high - low) - 0.5)))
-    return F.when((F.size(real) > 0) & (high > low), F.array_position(off, F.array_min(off)) - 1)
+    def place(v: Column, low: Column, high: Column) -> Column:
+        off = F.transform(v, lambda e: F.when(e.isNull() | F.isnan(e), F.lit(None).cast("double")).otherwise(F.abs((e - low) / (high - low) - 0.5)))
+        return F.when(high > low, once(off, lambda o: F.array_position(o, F.array_min(o)) - 1))
+
+    real = lambda v: F.filter(v, lambda e: e.isNotNull() & ~F.isnan(e))
+    ends = lambda r: F.struct(F.array_min(r).alias("low"), F.array_max(r).alias("high"))
+    return once(values, lambda v: once(once(real(v), ends), lambda e: place(v, e["low"], e["high"])))
+
+
+def once(value: Column, f) -> Column:
+    """f(value), with the value computed once a row: an expression that a lambda names is computed again for each element."""
+    return F.transform(F.array(value), f)[0]
 
 
 def argmax(values: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopix.functions.columns import argmax, evi, halfmax, year_and_doy
+from chronopix.operators.prep import by_pixel
 from chronopix.operators.segmentation import observations_of_segments
 from chronopix.operators.windows import group_years, scale_by_period
 from chronopix.shipping import ship_package
@@ -48,23 +49,24 @@ class Phenology:
         return evi(*(F.col(b) * F.lit(self.scale) for b in (self.red, self.nir, self.blue)))
 
 
-def scaled_index(obs: DataFrame, segments: DataFrame, p: Phenology) -> DataFrame:
+def scaled_index(obs: DataFrame, segments: DataFrame, p: Phenology, dealt: bool = False) -> DataFrame:
     """Observations in segments with evi in [0, 1], year, doy, period and the scaled index."""
     year, doy = year_and_doy(F.col("ordinal"))
-    rows = observations_of_segments(obs, segments).withColumn("evi", p.index()).where(F.col("evi").between(0, 1)).withColumns({"year": year, "doy": doy})
+    rows = observations_of_segments(obs if dealt else by_pixel(obs), segments).withColumn("evi", p.index()).where(F.col("evi").between(0, 1)).withColumns({"year": year, "doy": doy})
     grouped = group_years(rows, p.year_interval, keys=SEGMENT)
     return scale_by_period(grouped, "evi", p.q_min / 100, p.q_max / 100, keys=(*SEGMENT, "period")).where(F.col("scaled").isNotNull() & ~F.isnan("scaled"))
 
 
-def long_term_mean(obs: DataFrame, segments: DataFrame, p: Phenology | None = None) -> DataFrame:
+def long_term_mean(obs: DataFrame, segments: DataFrame, p: Phenology | None = None, dealt: bool = False) -> DataFrame:
     """The segments with spring_doy, autumn_doy, pheno_cor, peak_evi, peak_doy, spline_evi and pheno_nobs.
 
     A segment without usable observations gets zeros and a null spline.  peak_doy
-    counts from 0, the other two days from 1.
+    counts from 0, the other two days from 1.  The observations are spread by
+    pixel, unless ``dealt`` says that ``by_pixel`` has done so.
     """
     p = p or Phenology()
     ship_package(obs.sparkSession)
-    rows = scaled_index(obs, segments, p).groupBy(*SEGMENT).agg(F.sort_array(F.collect_list(F.struct("doy", "scaled"))).alias("s"), F.count("*").cast("int").alias("pheno_nobs"))
+    rows = scaled_index(obs, segments, p, dealt).groupBy(*SEGMENT).agg(F.sort_array(F.collect_list(F.struct("doy", "scaled"))).alias("s"), F.count("*").cast("int").alias("pheno_nobs"))
     rows = rows.select(*SEGMENT, "pheno_nobs", F.col("s.doy").alias("doy"), F.col("s.scaled").alias("scaled"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +80,7 @@ def long_term_mean(obs: DataFrame, segments: DataFrame, p: Phenology | None = No
                 x, y = np.concatenate([doy, pad]), np.concatenate([value, np.zeros(len(pad))])
                 curve = smoothing_spline(x, y, np.arange(1, 367), p.spar)
                 at = curve[doy.astype(int) - 1]
-                curves.append(curve.tolist())
+                curves.append(curve)
                 cors.append(float(np.corrcoef(at, value)[0, 1]) if len(value) > 1 and np.ptp(value) > 0 and np.ptp(at) > 0 else 0.0)
             yield pd.DataFrame({"py": batch["py"], "px": batch["px"], "seg_id": batch["seg_id"], "pheno_nobs": batch["pheno_nobs"], "spline_evi": curves, "pheno_cor": cors})
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from chronopix.functions.formula import Design, category_levels
 
 PIXEL = ("py", "px")
+#: A partition of ``by_pixel`` holds the observations of about as many bytes of files.
+PARTITION_BYTES = 16 << 20
+#: Spark's plans have sizes about as large for tables of no known size.
+UNKNOWN_BYTES = 1 << 60
 
 
 def in_range(bands: list[str], low: float | list[float] | None, high: float | list[float] | None) -> Column:
@@ -57,10 +61,19 @@ def by_pixel(obs: DataFrame, partitions: int | None = None, keys: tuple[str, ...
     """Observations with each pixel's in one partition: composites and series of them need no further shuffle.
 
     The work on series is heavy on CPU and light on bytes, so the number of
-    partitions is fixed; merging small ones would cost parallelism.
+    partitions is fixed; merging small ones would cost parallelism.  It grows
+    with the files read, so that a task's sorts and windows do not.
     """
     spark = obs.sparkSession
-    return obs.repartition(partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return obs.repartition(partitions or max(least, -(-source_bytes(obs) // PARTITION_BYTES)), *keys)
+
+
+def source_bytes(df: DataFrame) -> int:
+    """The size of the files that a table is read from, as its plan knows it; what has no known size counts as 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(n for n in sizes if n < UNKNOWN_BYTES)
 
 
 def pixel_series(obs: DataFrame, bands: list[str], extra: list[str] | None = None, reverse: bool = False, keys: tuple[str, ...] = PIXEL) -> DataFrame:

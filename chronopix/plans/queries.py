@@ -767,9 +767,9 @@ def omission_segments(spark, d):
 
 @query()
 def phenology_ltm(spark, d):
-    rows = _daily(spark, d)
+    rows = daily_composite(by_pixel(A.obs(spark, d).select("py", "px", "ordinal", "b0")), ["b0"])
     segs = A.segments(spark, d).select("py", "px", "seg_id", "start", "end")
-    return pheno.long_term_mean(rows, segs, pheno.Phenology(evi_band="b0", evi_scale=0.0002))
+    return pheno.long_term_mean(rows, segs, pheno.Phenology(evi_band="b0", evi_scale=0.0002), dealt=True)
 
 
 @query(f"WITH {A.OBS}, {A.DAILY} SELECT py, px, min(ordinal) AS first, max(ordinal) AS last, count(*) AS n, CAST(count(DISTINCT year({ORD})) AS BIGINT) AS n_years FROM daily GROUP BY py, px")

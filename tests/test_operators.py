@@ -1,3 +1,7 @@
+import math
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +46,25 @@ def test_columns(spark):
         C.spark_pattern("%Q")
 
 
+def test_halfmax_takes_time_in_step_with_the_array(spark):
+    # the ends were computed again for every element: half a minute for this one
+    start = time.perf_counter()
+    rows = spark.createDataFrame([([float(v) for v in range(12001)],), ([1.0, math.nan, None, 3.0, 9.0],), ([2.0, 2.0],), ([],), (None,)], "v array<double>")
+    assert [r["h"] for r in rows.select(C.halfmax(F.col("v")).alias("h")).collect()] == [6000, 3, None, None, None]
+    assert time.perf_counter() - start < 10
+
+
+def test_partitions_of_pixels_grow_with_the_files(spark, sf, monkeypatch):
+    from chronopix.operators import prep
+
+    obs = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("int(l_suppkey) AS py", "0 AS px")
+    size = Path(f"{sf}/lineitem.parquet").stat().st_size
+    assert prep.source_bytes(obs) == size and prep.source_bytes(spark.createDataFrame([(0, 0)], "py int, px int")) == 0
+    assert prep.by_pixel(obs).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(prep, "PARTITION_BYTES", size // 20)
+    assert prep.by_pixel(obs).rdd.getNumPartitions() in (20, 21) and prep.by_pixel(obs, 3).rdd.getNumPartitions() == 3
+
+
 SEGMENTS = [  # py, px, seg_id, start, end, break, coef (2 features x 1 band), rmse, magnitude
     (0, 0, 0, 10, 20, 25, [[1.0], [2.0]], [0.5], [3.0]), (0, 0, 1, 25, 40, 50, [[3.0], [0.0]], [0.6], [4.0]), (0, 0, 2, 50, 60, 0, [[5.0], [0.0]], [0.7], [0.0]),
     (0, 1, 0, 10, 30, 0, [[7.0], [1.0]], [0.1], [0.0]), (1, 0, 0, 45, 60, 0, [[9.0], [0.0]], [0.2], [0.0]), (1, 1, 0, 1, 9, 12, [[1.0], [0.0]], [0.2], [1.0]),
