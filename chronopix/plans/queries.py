@@ -628,13 +628,15 @@ def _kernel(spark, d, fn, schema: str, bands=("b0", "b1", "b2", "b3")) -> DataFr
         for batch in batches:
             out = []
             for p in batch.to_dict("records"):
-                s = p["series"]
-                dates, y = np.array([o["ordinal"] for o in s]), np.array([[o[b] for o in s] for b in bands], float)
-                out += [(p["py"], p["px"], *row) for row in fn(dates, y)]
+                out += [(p["py"], p["px"], *row) for row in fn(np.asarray(p["ordinal"]), np.array([p[b] for b in bands], float))]
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=["py", "px", *names])
+                    out = []
             yield pd.DataFrame(out, columns=["py", "px", *names])
 
     daily = daily_composite(by_pixel(A.obs(spark, d).select("py", "px", "ordinal", *bands)), list(bands))
-    return pixel_series(daily, list(bands)).mapInPandas(run, f"py int, px int, {schema}")
+    series = pixel_series(daily, list(bands)).select("py", "px", *(F.col("series")[c].alias(c) for c in ("ordinal", *bands)))
+    return series.mapInPandas(run, f"py int, px int, {schema}")
 
 
 def _regression(name: str):
@@ -667,7 +669,7 @@ def _masked(which: str):
             keep = kernels.multitemporal_mask(dates, y, (dates[-1] - dates[0]) / 365.25, crit=1500.0, green=0, swir1=1)
         else:
             keep = kernels.smooth_mask(dates, y, 40, crit=1500.0, green=0, swir1=1)
-        return [(int(o), bool(k)) for o, k in zip(dates, keep, strict=True)]
+        return list(zip(dates.tolist(), keep.tolist(), strict=True))
 
     return fn
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -180,3 +182,39 @@ def test_no_change_noise_and_short_series():
     with pytest.raises(TypeError):
         Ccdc(screening="other")
     assert Ccdc(test_indices=[0]).test_indices == [0]
+
+
+def naive_lowess(y, x, k, rounds):
+    robust, fit = np.ones(len(x)), np.zeros(len(x))
+    for _ in range(rounds + 1):
+        for i in range(len(x)):
+            near = np.argsort(np.abs(x - x[i]), kind="stable")[:k]
+            apart = np.abs(x[near] - x[i])
+            w = np.where(apart < 0.999 * apart.max(), (1 - (apart / apart.max()) ** 3) ** 3, 0.0) * robust[near]
+            fit[i] = np.polyval(np.polyfit(x[near] - x[i], y[near], 1, w=np.sqrt(w)), 0.0)
+        off = np.abs(y - fit)
+        robust = np.maximum(0, 1 - (off / (6 * np.median(off))) ** 2) ** 2
+    return fit
+
+
+def test_lowess_against_point_by_point_fits(monkeypatch):
+    r = np.random.default_rng(5)
+    for cells in (K.LOWESS_CELLS, 100):  # all points at once, and a few at a time
+        monkeypatch.setattr(K, "LOWESS_CELLS", cells)
+        for n in (30, 61):
+            x = np.sort(r.random(n)) * 1000
+            y = np.sin(x / 150) * 100 + r.normal(size=n) * 10 + (r.random(n) < 0.1) * 500
+            assert K.lowess(y, x, 0.5, 3) == pytest.approx(naive_lowess(y, x, n // 2, 3), abs=1e-6)
+    assert K.lowess(np.zeros(0), np.zeros(0)).shape == (0,)
+
+
+def test_smooth_masks_are_made_for_all_points_at_once():
+    # point by point, with a dozen calls of NumPy each, these took over five seconds
+    r = np.random.default_rng(6)
+    start = time.process_time()
+    for _ in range(50):
+        x = 729000 + np.sort(r.choice(2500, 530, replace=False))
+        y = r.normal(size=(2, 530)) * 100
+        y[0, 100], y[1, 200] = 5000, -5000
+        assert np.flatnonzero(~K.smooth_mask(x, y, 40, crit=1500.0, green=0, swir1=1)).tolist() == [100, 200]
+    assert time.process_time() - start < 2.5
