@@ -13,12 +13,14 @@ leave over is an array of their positions.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from chronopix.errors import SeriesTooShort
-from chronopix.functions.kernels import EPS, Lasso, fold_intercept, multitemporal_mask, rmse, smooth_mask
+from chronopix.functions.kernels import EPS, Lasso, fit_bands, fold_intercept, multitemporal_mask, rmse, smooth_mask
 
 YEAR = 365.25
 
@@ -92,7 +94,7 @@ class Ccdc:
             if at is None:
                 break
             # a window needs an observation on either side of its first
-            kept, first, last = track.kept, at + 1, at + 2
+            kept, first, last = np.array(track.kept), at + 1, at + 2
         return out
 
     def bands(self, o: Observations) -> list[int]:
@@ -134,72 +136,105 @@ class Ccdc:
 
     def stable(self, o: Observations, rows: np.ndarray) -> bool:
         """Whether models of the test bands fit the first and the last observation, and do not slope if that is tested."""
-        low, off = self.floors(o), []
-        for b in self.bands(o):
-            model = self.estimator.fresh().fit(o.x[rows], o.y[b, rows])
-            residual = np.abs(o.y[b, rows] - model.predict(o.x[rows]))
+        low, off, x = self.floors(o), [], o.x[rows]
+        bands = self.bands(o)
+        for b, model in zip(bands, fit_bands(self.estimator, x, o.y[np.ix_(bands, rows)]), strict=True):
+            residual = np.abs(o.y[b, rows] - model.predict(x))
             slope = abs(model.coef_[self.idx_slope] * (len(rows) - 1)) if self.slope_test else 0.0
             off.append(np.array([residual[0], residual[-1], slope]) / max(low[b], float(np.sqrt(np.mean(residual**2)))))
-        ends, slope = np.linalg.norm(off, axis=0)[:2].max(), np.linalg.norm(off, axis=0)[2]
+        first, last, slope = np.sqrt((np.array(off) ** 2).sum(axis=0))
+        ends = max(first, last)
         return not (ends > self.threshold or (self.slope_test and slope > self.slope_test))
 
 
 class _Track:
-    """The series from a stable window on: models that are refitted now and then, and looks ahead."""
+    """The series from a stable window on: models that are refitted now and then, and looks ahead.
+
+    Between two fits an observation's residuals stay the same, and its score does
+    unless the scale is seasonal; so they are computed for the whole series at each fit.
+    """
 
     def __init__(self, p: Ccdc, o: Observations, kept: np.ndarray, first: int, last: int):
-        self.p, self.o, self.kept, self.first = p, o, kept, first
+        self.p, self.o, self.first = p, o, first
+        self.kept: list[int] = kept.tolist()  # positions, without noise found on the way
         self.bands, self.low = p.bands(o), p.floors(o)
         self.coef, self.rmse = np.zeros((len(o.y), o.x.shape[1])), np.zeros(len(o.y))
         self.fitted = 0.0  # the date up to which the models have seen the series
-        self.far = np.zeros((p.consecutive, len(self.bands)))  # scores of the last look
+        self.far = np.zeros((p.consecutive, len(self.bands)))  # scores of a look that is a change
+        self.dates: list[float] = np.asarray(o.dates, float).tolist()
+        self.seasons: list[tuple[float, int]] = []  # (day of the year, position) of the segment's observations, in order
+        self.seen = first  # the first place that is not yet among them
         self.refit(last + 1)
         self.next = last + 1
 
     def refit(self, last: int) -> None:
         """Models of all bands on what lies between the first and ``last``, if the present ones are too old."""
-        date = float(self.o.dates[self.kept[last]])
+        date = self.dates[self.kept[last]]
         if abs(date - self.fitted) <= self.p.retrain_time:
             return
-        rows, self.fitted = self.kept[self.first : last + 1], date
-        for b in range(len(self.o.y)):
-            model = self.p.estimator.fresh().fit(self.o.x[rows], self.o.y[b, rows])
-            self.rmse[b] = rmse(self.o.y[b, rows], model.predict(self.o.x[rows]))
+        rows, self.fitted = np.array(self.kept[self.first : last + 1]), date
+        x, y = self.o.x[rows], self.o.y[:, rows]
+        for b, model in enumerate(fit_bands(self.p.estimator, x, y)):
+            self.rmse[b] = rmse(y[b], model.predict(x))
             self.coef[b] = fold_intercept(model)
+        # the places of positions before the first one's are of no use
+        self.from_ = self.kept[self.first]
+        self.residual = self.o.y[self.bands, self.from_ :] - self.coef[self.bands] @ self.o.x[self.from_ :].T
+        if self.p.dynamic_rmse:
+            self.squares = (self.residual**2).tolist()
+            self.values = self.residual.tolist()
+        else:
+            self.steady = np.maximum(self.low[self.bands], self.rmse[self.bands])
+            self.scores = np.sqrt(((self.residual / self.steady[:, None]) ** 2).sum(axis=0)).tolist()
 
     def follow(self) -> int | None:
         """Looks ahead from observation to observation; the place where a change is, or None at the series' end."""
-        while self.next < len(self.kept) - self.p.consecutive - 1:
+        kept, n, p = self.kept, self.p.consecutive, self.p
+        while self.next < len(kept) - n - 1:
             self.refit(self.next)
-            far = self.look() > self.p.threshold
-            if far.all():
+            far = self.score(kept[self.next], scale := self.scales()) > p.threshold
+            if far and all(self.score(k, scale) > p.threshold for k in kept[self.next + 1 : self.next + n]):
+                self.far = (self.residual[:, np.array(kept[self.next : self.next + n]) - self.from_] / np.array(scale)[:, None]).T
                 return self.next
-            if far[0] and self.p.remove_noise:
-                self.kept = np.delete(self.kept, self.next)
+            if far and p.remove_noise:
+                del kept[self.next]
             else:
                 self.next += 1
         # too few are left for another look, but the models still see them
-        for last in range(self.next + 1, len(self.kept)):
+        for last in range(self.next + 1, len(kept)):
             self.refit(last)
         return None
 
-    def look(self) -> np.ndarray:
-        """How far each of the next observations is from the models, over all test bands."""
-        rows = self.kept[self.next : self.next + self.p.consecutive]
-        residual = self.o.y[np.ix_(self.bands, rows)] - self.coef[self.bands] @ self.o.x[rows].T
-        scale = np.array([self.seasonal_rmse(b) if self.p.dynamic_rmse else self.rmse[b] for b in self.bands])
-        self.far = (residual / np.maximum(self.low[self.bands], scale)[:, None]).T
-        return np.linalg.norm(self.far, axis=1)
+    def scales(self) -> list[float] | np.ndarray:
+        """The scale of residuals of each test band in the present look."""
+        return self.seasonal_rmse() if self.p.dynamic_rmse else self.steady
+
+    def score(self, position: int, scale: list[float]) -> float:
+        """How far an observation is from the models, over all test bands."""
+        k = position - self.from_
+        if not self.p.dynamic_rmse:
+            return self.scores[k]
+        return math.sqrt(sum((v[k] / s) ** 2 for v, s in zip(self.values, scale, strict=True)))
 
-    def seasonal_rmse(self, b: int) -> float:
+    def seasonal_rmse(self) -> list[float]:
         """The residual scale of the segment's observations that are nearest in the season to the end of the look."""
-        rows = self.kept[self.first : self.next]
-        end = self.o.dates[self.kept[min(self.next + self.p.consecutive, len(self.kept) - 1)]]
-        apart = np.mod(self.o.dates[rows] - end, YEAR)
+        kept, seasons, n = self.kept, self.seasons, self.p.min_obs
+        while self.seen < self.next:
+            insort(seasons, (self.dates[kept[self.seen]] % YEAR, kept[self.seen]))
+            self.seen += 1
+        day = self.dates[kept[min(self.next + self.p.consecutive, len(kept) - 1)]] % YEAR
+        k = bisect_left(seasons, (day, -1))
+        near = seasons[k : k + n]  # those on or after that day, then the next year's
+        near += seasons[: min(k, n - len(near))]
         if self.p.circular_days:
-            apart = np.minimum(apart, YEAR - apart)
-        rows = rows[np.argsort(apart, kind="stable")[: self.p.min_obs]]
-        return rmse(self.o.y[b, rows], self.o.x[rows] @ self.coef[b])
+            before = seasons[max(0, k - n) : k]
+            before = seasons[len(seasons) - min(n - len(before), len(seasons) - k) :] + before if len(before) < n else before
+            apart = {position: min((d - day) % YEAR, (day - d) % YEAR) for d, position in (*near, *before)}
+            rows = sorted(apart, key=lambda position: (apart[position], position))[:n]
+        else:
+            rows = [position for _, position in near]
+        low = self.low[self.bands].tolist()
+        return [max(floor, math.sqrt(sum(v[r - self.from_] for r in rows) / len(rows))) for floor, v in zip(low, self.squares, strict=True)]
 
     def segment(self, at: int | None) -> Segment:
         """Up to a change at ``at``; without one up to the last observation that began a whole look."""
