@@ -11,7 +11,7 @@ from chronopix.functions.formula import Design, category_levels
 
 PIXEL = ("py", "px")
 #: A partition of ``by_pixel`` holds the observations of about as many bytes of files.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 4 << 20
 #: Spark's plans have sizes about as large for tables of no known size.
 UNKNOWN_BYTES = 1 << 60
 

@@ -48,9 +48,9 @@ GRID = f"grid AS (SELECT DISTINCT CAST(s_suppkey // {NCOL} AS INTEGER) AS py, CA
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A year of a pixel as a segment: start, end, break, coef (2 x 2), rmse, magnitude, class_proba."""
-    from chronopix.operators.prep import daily_composite
+    from chronopix.operators.prep import by_pixel, daily_composite
 
-    d = daily_composite(obs(spark, sf_dir), ["b0", "b1"])
+    d = daily_composite(by_pixel(obs(spark, sf_dir).select("py", "px", "ordinal", "b0", "b1")), ["b0", "b1"])
     x = F.col("ordinal") - CENTRE
     year = F.year(F.date_from_unix_date(F.col("ordinal") - 719163))
     fit = lambda b: (F.regr_intercept(b, x), F.regr_slope(b, x), F.sqrt(F.greatest(F.lit(0.0), (F.regr_syy(b, x) - F.pow(F.regr_slope(b, x), F.lit(2.0)) * F.regr_sxx(b, x)) / F.count("*"))))

@@ -49,6 +49,11 @@ def _daily(spark, d, bands=("b0", "b1", "b2", "b3")) -> DataFrame:
 _ARCHIVES: dict[tuple[str, str], str] = {}
 
 
+def _dealt(spark, d, bands) -> DataFrame:
+    """``_daily`` with each pixel's in one partition, of which there are more the larger the input is."""
+    return daily_composite(by_pixel(A.obs(spark, d).select("py", "px", "ordinal", *bands)), list(bands))
+
+
 def _archive(spark, d) -> str:
     """The observations as an archive in time-series order, written once a session."""
     key = (spark.sparkContext.applicationId, d)
@@ -303,7 +308,7 @@ def cusum_test(spark, d):
 
 
 def _omission(spark, d, how):
-    rows = _daily(spark, d, ("b0", "b1")).withColumn("x", F.col("ordinal") - A.CENTRE)
+    rows = _dealt(spark, d, ("b0", "b1")).withColumn("x", F.col("ordinal") - A.CENTRE)
     whole = rows.groupBy("py", "px").agg(F.lit(0).alias("seg_id"), F.min("ordinal").alias("start"), F.max("ordinal").alias("end"))
     return segmentation.drifting_segments(rows, whole, ["b0", "b1"], 0.3, how).select("py", "px", "omission")
 
@@ -763,7 +768,7 @@ cum AS (SELECT py, px, seg_id, band, r, sum(r) OVER (PARTITION BY py, px, seg_id
 stat AS (SELECT py, px, seg_id, band, max(abs(c)) / sqrt(sum(r * r) * count(*) / (count(*) - 2)) AS s FROM cum GROUP BY 1, 2, 3, 4 HAVING count(*) > 2 AND sum(r * r) > 0)
 SELECT py, px, seg_id, bool_or({TAIL} < 0.2) AS omission FROM stat GROUP BY 1, 2, 3""")
 def omission_segments(spark, d):
-    rows = _daily(spark, d, ("b0", "b1")).withColumn("x", F.col("ordinal") - A.CENTRE)
+    rows = _dealt(spark, d, ("b0", "b1")).withColumn("x", F.col("ordinal") - A.CENTRE)
     return segmentation.drifting_segments(rows, A.segments(spark, d), ["b0", "b1"], 0.2)
 
 

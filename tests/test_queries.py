@@ -271,6 +271,16 @@ def test_phenology_query_counts_the_observations_of_its_segments(spark, sf, seri
             assert r["pheno_nobs"] == (own & (evi >= 0) & (evi <= 1)).sum() and -1 <= r["pheno_cor"] <= 1
 
 
+@pytest.mark.parametrize("name", ["omission_any", "omission_all", "omission_segments"])
+def test_omission_is_dealt_into_more_tasks_the_larger_the_files(spark, sf, monkeypatch, name):
+    from chronopix.operators import prep
+
+    held = sorted(map(tuple, QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(prep, "PARTITION_BYTES", prep.source_bytes(spark.read.parquet(f"{sf}/lineitem.parquet")) // 9)
+    df = QUERIES[name](spark, sf)
+    assert df.rdd.getNumPartitions() >= 9 and sorted(map(tuple, df.collect())) == held
+
+
 def test_classes_are_the_likeliest_and_learnt(spark, sf):
     from chronopix.operators import classify
     from chronopix.plans import adapters as A
