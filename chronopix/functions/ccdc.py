@@ -20,9 +20,11 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from chronopix.errors import SeriesTooShort
-from chronopix.functions.kernels import EPS, Lasso, fit_bands, fold_intercept, multitemporal_mask, rmse, smooth_mask
+from chronopix.functions.kernels import EPS, Lasso, fit_bands, fold_intercept, multitemporal_masks, rmse, smooth_mask
 
 YEAR = 365.25
+#: At most as many windows are screened together.
+AHEAD = 8
 
 
 @dataclass
@@ -111,10 +113,15 @@ class Ccdc:
         The window is over a year long and has more observations than features.
         Its end moves on by one each time; its beginning does where it is unstable.
         """
+        clear: dict[tuple[int, int], np.ndarray] = {}
+        ahead, gone = 1, 0
         for last in range(last, len(kept) - self.consecutive - 1):
-            if o.days(kept[first], kept[last]) <= YEAR or last - first < o.x.shape[1]:
+            if not self.long(o, kept, first, last):
                 continue
-            screened = self.screen(o, kept, first, last)
+            if self.screening == "RLM" and (first, last) not in clear:
+                clear, ahead = self.clear(o, kept, first, last, ahead, gone), min(2 * ahead, AHEAD)
+            gone = int((~clear[first, last][: last - first]).sum()) if clear else 0
+            screened = self.screen(o, kept, first, last, clear)
             if screened is None:
                 continue
             if self.stable(o, screened[0][first : screened[1] + 1]):
@@ -122,12 +129,31 @@ class Ccdc:
             first += 1
         return None
 
-    def screen(self, o: Observations, kept: np.ndarray, first: int, last: int) -> tuple[np.ndarray, int] | None:
+    def long(self, o: Observations, kept: np.ndarray, first: int, last: int) -> bool:
+        """Whether a window can be long enough; screening leaves none beyond the one before its last, at most."""
+        if o.days(kept[first], kept[last]) <= YEAR or last - first < o.x.shape[1]:
+            return False
+        return self.screening == "LOWESS" or (last - first >= self.min_obs and o.days(kept[first], kept[last - 1]) >= YEAR)
+
+    def clear(self, o: Observations, kept: np.ndarray, first: int, last: int, ahead: int, gone: int) -> dict[tuple[int, int], np.ndarray]:
+        """What is clear in a window and in those that follow it if each loses ``gone`` observations and is unstable; they are fitted together."""
+        places = []
+        while len(places) < ahead and last < len(kept) - self.consecutive - 1:
+            if self.long(o, kept, first, last):
+                places.append((first, last))
+                left = last - first - gone
+                first += left >= self.min_obs and o.days(kept[first], kept[first + left - 1]) >= YEAR
+            last += 1
+        near = [kept[a : b + self.consecutive] for a, b in places]
+        bands = [self.green_band, self.swir1_band]
+        windows = [(o.dates[n], o.y[bands][:, n], o.days(kept[a], kept[b]) / YEAR) for n, (a, b) in zip(near, places, strict=True)]
+        return dict(zip(places, multitemporal_masks(windows, self.screening_crit), strict=True))
+
+    def screen(self, o: Observations, kept: np.ndarray, first: int, last: int, clears: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, int] | None:
         """(kept, last) without clouds and shadows in the window and the look behind it; None if too little is left."""
         if self.screening == "LOWESS":
             return (kept, last) if last - first + 1 >= self.min_obs else None
-        near = kept[first : last + self.consecutive]
-        clear = multitemporal_mask(o.dates[near], o.y[:, near], o.days(kept[first], kept[last]) / YEAR, self.screening_crit, self.green_band, self.swir1_band)
+        near, clear = kept[first : last + self.consecutive], clears[first, last]
         n = int(clear[: last - first].sum())
         # the length in days is that of as many observations before the screening
         if n < self.min_obs or o.days(kept[first], kept[first + n - 1]) < YEAR:

@@ -161,3 +161,18 @@ def test_segments_are_in_order_and_apart(more):
         assert all(s.start <= s.end and (s.change == 0 or s.change > s.end) for s in got)
         assert all(a.change and a.end < a.change <= b.start for a, b in zip(got, got[1:], strict=False))
         assert all((s.magnitude[:2] == 0).all() and bool(s.magnitude.any()) == bool(s.change) for s in got)
+
+
+def test_windows_screened_together_are_as_one_by_one():
+    from chronopix.functions.kernels import multitemporal_mask, multitemporal_masks
+
+    r = np.random.default_rng(8)
+    windows = []
+    for n in (25, 40, 90):
+        x = 729000 + np.sort(r.choice(900, n, replace=False))
+        y = r.normal(size=(2, n)) * 50 + 300 * np.cos(x / 58)
+        y[0, 3], y[1, n // 2] = 5000, -5000
+        windows.append((x, y, (x[-1] - x[0]) / 365.25))
+    together = multitemporal_masks(windows)
+    for (x, y, years), clear in zip(windows, together, strict=True):
+        assert np.flatnonzero(~clear).tolist() == [3, len(x) // 2] and (clear == multitemporal_mask(x, y, years, green=0, swir1=1)).all()
